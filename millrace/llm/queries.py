@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontam, mixing, tokens, toxicity
 from .common import load
 from .jaccard import jaccard_components
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the registered queries; MILLRACE_TOKENIZER names another."""
+    named = os.environ.get("MILLRACE_TOKENIZER")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.labelled_languages(docs, load(spark, sf_dir, "labels")))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
+    "op4_token_output": op4_token_output,
+    "op6_toxicity": op6_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 

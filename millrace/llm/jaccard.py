@@ -27,8 +27,9 @@ from .shingles import shingle_sets
 ORDER_SAMPLE, FREQUENT = 8_000, 4
 #: Id sets up to this many entries (8 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-_TEXTS = 2_000
-_PER_SALT = 512
+_TEXTS, _PER_SALT = 2_000, 512
+#: Regions of so many members get their distances to the pivot; the join radius.
+_LARGE, _RADIUS = 8, 0.2
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
@@ -122,10 +123,11 @@ def _regions(described: DataFrame, buckets: int) -> DataFrame:
 def _stars(regions: DataFrame) -> DataFrame:
     """From each region its pivot (least document) with each other member, and regions of three or more as id lists.
 
-    a is null in rows that hold a region's members; times is the number of shared pivots.
+    a is null in rows that hold a region's members; times is the number of shared pivots, alone that of
+    those which no other set shares.
     """
-    names = ("a", "b", "na", "nb", "times", "members")
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ("a", "b", "na", "nb", "times", "alone", "members")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(table: pa.Table) -> pa.Table:
         keys, ids, s1, n = [], [], [], []
@@ -151,27 +153,29 @@ def _stars(regions: DataFrame) -> DataFrame:
         pivot = np.repeat(head, size)
         other = np.flatnonzero(pivot != np.arange(len(keys)))
         pair = np.stack((ids[pivot[other]], ids[other], n[pivot[other]], n[other]), 1) if len(other) else np.empty((0, 4), np.int64)
-        pair, times = np.unique(pair, axis=0, return_counts=True)
+        pair, which, times = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
+        alone = np.bincount(which.ravel(), weights=np.repeat(size, size)[other] == 2, minlength=len(pair)).astype(np.int64)
         groups: dict[bytes, int] = {}
         for h, s in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             m = ids[h : h + s].tobytes()
             groups[m] = groups.get(m, 0) + 1
         k, g = len(pair), len(groups)
-        cols = [[*pair[:, j].tolist(), *[None] * g] for j in range(4)] + [[*times.tolist(), *groups.values()], [*[None] * k, *groups]]
+        cols = [[*pair[:, j].tolist(), *[None] * g] for j in range(4)] + [[*times.tolist(), *groups.values()], [*alone.tolist(), *[None] * g], [*[None] * k, *groups]]
         return pa.table({f: pa.array(c, t) for f, c, t in zip(names, cols, types, strict=True)})
 
-    return regions.groupBy("bucket").applyInArrow(run, "a long, b long, na long, nb long, times long, members binary")
+    return regions.groupBy("bucket").applyInArrow(run, "a long, b long, na long, nb long, times long, alone long, members binary")
 
 
-def _worth(na: str = "na", nb: str = "nb", times: str = "times"):
+def _worth(na: str = "na", nb: str = "nb", times="times"):
     """Can sets of these sizes that share so many pivots of their windows be within 0.2?
 
     The overlap must be 4/9 of the sizes' sum; beyond the windows at most ceil(0.8 n) - 1 can be shared.
     """
     a, b = F.col(na), F.col(nb)
+    times = F.col(times) if isinstance(times, str) else times
     most, least = F.greatest(a, b), F.least(a, b)
     need = F.ceil((a + b) * 4 / F.lit(9.0) - 1e-9)
-    return (least * 10 >= most * 8) & (F.col(times) >= need - (F.ceil(most * 8 / F.lit(10.0) - 1e-9) - 1))
+    return (least * 10 >= most * 8) & (times >= need - (F.ceil(most * 8 / F.lit(10.0) - 1e-9) - 1))
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -183,8 +187,8 @@ def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(kept, "texts")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact similarity of each pair (a, b): a, b, common, total for those at 0.8 or more, streamed pivot by pivot."""
+def _verify(docs: DataFrame, pairs: DataFrame, every: bool = False) -> DataFrame:
+    """Exact similarity of each pair (a, b): a, b, common, total for those at 0.8 or more (or for every pair), streamed pivot by pivot."""
     texts = _texts_of(docs, pairs).dropDuplicates(["doc_id"])
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(_PER_SALT)).cast("int").alias("salts"))
     dealt = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
@@ -204,7 +208,7 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     both = np.sort(np.concatenate((own, s)))
                     common = int((both[1:] == both[:-1]).sum())
                     total = len(both) - common
-                    if 100 * common >= 80 * total:
+                    if every or 100 * common >= 80 * total:
                         out.append((x, y, common, total))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], schema=schema)
 
@@ -224,25 +228,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     described = staged(_describe(docs, _frequent(docs)), "sets")
     buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = staged(_stars(_regions(described, buckets)), "stars")
-    first = staged(found.where("a is not null").groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times")).where(_worth()).select("a", "b"), "pairs")
-    links = staged(_verify(docs, first), "links")
-    cells = connected_components(links)
-    # Recursion: in regions of three or more, members that no link connects yet.
+    stars = staged(found.where("a is not null").groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times"), F.sum("alone").alias("alone")), "pairs")
+    links = staged(_verify(docs, stars.where(_worth()).select("a", "b")), "links")
+    cells = staged(connected_components(links), "cells")
+    # Recursion: in regions of three or more, members that no link connects yet. Regions with one pivot make one Voronoi cell.
     regions = found.where("a is null").groupBy("members").agg(F.sum("times").alias("times"))
     member = regions.select(F.xxhash64("members").alias("region"), "times", F.explode(_ids_of("members")).alias("id"))
-    member = member.join(cells, "id", "left").select("region", "times", "id", F.coalesce("component", "id").alias("cell"))
-    member = staged(member, "members")
-    mixed = member.groupBy("region").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.min("id").alias("pivot")).where("lo <> hi").select("region", "pivot")
-    open_ = staged(member.join(mixed, "region").where("id <> pivot").join(described.where("window is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id"), "open")
-    near = links.groupBy(F.col("b").alias("id"), F.col("a").alias("pivot")).agg(F.min(1 - F.col("common") / F.col("total")).alias("far"))
-    open_ = open_.join(near, ["id", "pivot"], "left")
-    x, y = (open_.select("region", "times", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cell", "n", "far"))) for s in "xy")
-    window = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= 0.2 + 1e-9, F.lit(True))
-    size = F.least("n_x", "n_y") * 10 >= F.greatest("n_x", "n_y") * 8
-    pairs = x.join(y.drop("times"), "region").where((F.col("id_x") < F.col("id_y")) & (F.col("cell_x") != F.col("cell_y")) & window & size)
-    pairs = pairs.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).agg(F.sum("times").alias("times")).where(_worth())
-    second = staged(pairs.select("a", "b"), "pairs")
-    more = _verify(docs, second)
+    member = staged(member.join(cells, "id", "left").select("region", "times", "id", F.coalesce("component", "id").alias("cell")), "members")
+    mixed = member.groupBy("region").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.min("id").alias("pivot"), F.count("*").alias("size"))
+    held = stars.select(F.col("b").alias("id"), "times").unionByName(stars.select(F.col("a").alias("id"), F.col("alone").alias("times"))).unionByName(member.join(mixed, "region").where("id = pivot").select("id", "times"))
+    held = held.groupBy("id").agg(F.sum("times").alias("held"))  # how many pivots a set shares with any other
+    sizes = described.where("window is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"))
+    shared = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), F.col("times")), lambda i: F.xxhash64("region", i))))  # a window's length at most
+    open_ = member.join(mixed.where("lo <> hi"), "region").where("id <> pivot").groupBy("pivot", "id").agg(F.first("cell").alias("cell"), F.max("size").alias("size"), shared.alias("shared"))
+    open_ = staged(open_.join(sizes, "id").join(held, "id"), "open")
+    far = staged(_verify(docs, open_.where(F.col("size") >= _LARGE).select(F.col("pivot").alias("a"), F.col("id").alias("b")), every=True), "far")
+    far = far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("common") / F.col("total")).alias("far"))
+    # The window: a pair within 0.2 has distances to the pivot within 0.2, so it meets in a band of that width or beside it.
+    open_ = open_.join(far, ["id", "pivot"], "left").withColumn("band", F.coalesce(F.floor(F.col("far") / _RADIUS).cast("int"), F.lit(0)))
+    x, y = (open_.select("pivot", "band", (F.col("held") - F.size("shared")).alias(f"rest_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cell", "n", "far", "shared"))) for s in "xy")
+    y = y.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    window = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= _RADIUS + 1e-9, F.lit(True))
+    here = F.size(F.array_intersect("shared_x", "shared_y")).cast("long")
+    may = _worth("n_x", "n_y", here + F.least("rest_x", "rest_y"))
+    pairs = x.join(y, ["pivot", "band"]).where((F.col("id_x") < F.col("id_y")) & (F.col("cell_x") != F.col("cell_y")) & window & may)
+    pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), here.alias("times"))
+    # A pair's shared pivots are split between regions whose pivot it holds and others; only their sum decides.
+    cell = lambda c: cells.select(F.col("id").alias(c), F.col("component").alias(f"cell_{c}"))
+    rest = stars.where(~_worth()).join(cell("a"), "a", "left").join(cell("b"), "b", "left").where("coalesce(cell_a, a) <> coalesce(cell_b, b)").select("a", "b", "na", "nb", "times")
+    pairs = pairs.unionByName(rest).groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times")).where(_worth())
+    more = _verify(docs, staged(pairs.select("a", "b"), "pairs"))
     final = staged(connected_components(links.select("a", "b").unionByName(more.select("a", "b"))), "cells")
     same = described.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"))
     joined = described.select("doc_id", "n", "s1", "s2").join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least"))

@@ -29,7 +29,8 @@ END_ID = 2
 BLOCK_TOKENS, ROUNDS, RULES_A_ROUND, LEAST_USES = 1 << 21, 5, 768, 8
 _HEAD = struct.Struct("<4sB3xIIIQ")
 _NULL_ID = (1 << 63) - 1
-_MOST_CACHED = 400_000
+_MOST_CACHED = 1_000_000
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -89,6 +90,13 @@ class Encoder:
         return piece != "" and not piece[-1].isspace() and not piece[1:2].isspace()
 
 
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a vocabulary file; its cache outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, sequence, last): each round replaces the most frequent pairs at once, a more frequent pair first where two overlap.
 
@@ -222,7 +230,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
 
     def run(batches):
         shard, block = TaskContext.get().partitionId(), 0
-        enc = Encoder(tokenizer_path)
+        enc = encoder(tokenizer_path)
         end, keys, ids, size = np.array([END_ID], enc.dtype).tobytes(), [], [], 0
 
         def full():

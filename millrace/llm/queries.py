@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, tokens, toxicity
+from . import decontam, mixing, pii, secrets, tokens, toxicity
 from .common import load
 from .jaccard import jaccard_components
 
@@ -30,6 +30,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(load(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,12 +47,18 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
+    "op3_personal_data": op3_personal_data,
     "op4_token_output": op4_token_output,
     "op6_toxicity": op6_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op10_secrets": op10_secrets,
 }
 
 #: DuckDB SQL for those queries that SQL can express at whole-table size.

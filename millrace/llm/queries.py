@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, secrets, tokens, toxicity
+from . import decontam, embed_dedup, mixing, pii, quality, secrets, tokens, toxicity, warc
 from .common import load
 from .jaccard import jaccard_components
 
@@ -38,15 +38,29 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"))
 
 
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.build_archive(load(spark, sf_dir, "pages"))
+    return warc.audit_report(archive, warc.with_faults(archive))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(load(spark, sf_dir, "documents"))
 
@@ -56,8 +70,11 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_personal_data": op3_personal_data,
     "op4_token_output": op4_token_output,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_warc_audit": op9_warc_audit,
     "op10_secrets": op10_secrets,
 }
 

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import load, staged
+from millrace.llm.decontam import drop_contaminated
 from millrace.llm.jaccard import keep_one_per_group
+from millrace.llm.mixing import labelled_languages, repeat_to_rates
+from millrace.llm.queries import tokenizer_path
+from millrace.llm.tokens import token_digest
+from millrace.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go."""
+    return drop_toxic(docs, load(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +23,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one_per_group(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, within its edit budget, go."""
+    return drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays at least once; domains short of their target are repeated by their rates."""
+    return repeat_to_rates(docs, labelled_languages(docs, load(spark, sf_dir, "labels")))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document read back from the written token files."""
+    return token_digest(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID binary output", token_output),
+]
 
+#: SQL can express neither the fitted scores nor the tokenizer; the tests compare with brute force.
 ORACLE_SQL = None
 
 

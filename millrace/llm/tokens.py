@@ -27,6 +27,7 @@ from .common import stage_path
 
 END_ID = 2
 BLOCK_TOKENS, ROUNDS, RULES_A_ROUND, LEAST_USES = 1 << 21, 5, 768, 8
+_SPREAD = 18
 _HEAD = struct.Struct("<4sB3xIIIQ")
 _NULL_ID = (1 << 63) - 1
 _MOST_CACHED = 1_000_000
@@ -76,13 +77,18 @@ class Encoder:
         if "\0" in text:  # the mark that cuts are made with
             return self._whole(text)
         quick = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+        get = self.cache.__getitem__
         try:  # every cached piece that a cut made starts and ends safely
-            return b"".join(map(self.cache.__getitem__, quick))
+            return b"".join(map(get, quick))
         except KeyError:
-            pass
-        pieces = self.pieces(text)
-        self._learn(list({p for p in pieces if p not in self.cache and self._safe(p)}))
-        return b"".join(self.cache[p] if p in self.cache else self._whole(p) for p in pieces)
+            new = {p for p in quick if p not in self.cache}
+        if all(map(self._safe, new)):
+            self._learn(list(new))
+            try:
+                return b"".join(map(get, quick))
+            except KeyError:  # the cache was emptied to make room
+                return self._whole(text)
+        return b"".join(self.cache[p] if p in self.cache else self._whole(p) for p in self.pieces(text))
 
     @staticmethod
     def _safe(piece: str) -> bool:
@@ -100,38 +106,44 @@ def encoder(path: str) -> Encoder:
 def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, sequence, last): each round replaces the most frequent pairs at once, a more frequent pair first where two overlap.
 
-    last marks the final symbol of each document; no pair crosses it.
+    last marks the final symbol of each document; no pair crosses it. Pairs are counted in hashed
+    cells, and rules_a_round is less than 65535.
     """
     seq, rules = symbols.astype(np.uint32), []
-    none = np.uint32(1 << 31)
+    none = np.uint16((1 << 16) - 1)
     for _ in range(rounds):
         if len(seq) < 2 * least:
             break
         wide = base + len(rules) + rules_a_round > 1 << 16
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if wide else seq[:-1] << np.uint32(16) | seq[1:]
-        spread = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)) if wide else (key * np.uint32(0x9E3779B1) >> np.uint32(12))
+        spread = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SPREAD)) if wide else (key * np.uint32(0x9E3779B1) >> np.uint32(32 - _SPREAD))
         spread[last[:-1]] = 0
-        counts = np.bincount(spread, minlength=1 << 20)
+        counts = np.bincount(spread, minlength=1 << _SPREAD)
         counts[0] = 0
-        cut = max(least, int(np.partition(counts, -rules_a_round)[-rules_a_round]))
-        at = np.flatnonzero(counts[spread] >= cut)
-        if not len(at):
+        cells = np.argpartition(counts, -rules_a_round)[-rules_a_round:]
+        cells = cells[counts[cells] >= least]
+        cells = cells[np.argsort(-counts[cells], kind="stable")]
+        if not len(cells):
             break
-        pairs, which, uses = np.unique(key[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-uses, kind="stable")[:rules_a_round]
-        order = order[uses[order] >= least]
-        rank_of = np.full(len(pairs), none, np.uint32)
-        rank_of[order] = np.arange(len(order), dtype=np.uint32)
-        rank = np.full(len(seq) + 1, none, np.uint32)
-        rank[at + 1] = rank_of[which]
+        rank_of = np.full(1 << _SPREAD, none, np.uint16)
+        rank_of[cells] = np.arange(len(cells), dtype=np.uint16)
+        rank = np.full(len(seq) + 1, none, np.uint16)
         here = rank[1:-1]
-        take = np.flatnonzero((here < none) & (here < rank[:-2]) & (here <= rank[2:]))
+        here[:] = rank_of[spread]
+        at = np.flatnonzero(here != none)
+        # A cell stands for the pair last seen in it; other pairs that fall there wait for a later round.
+        pair_of = np.zeros(len(cells), key.dtype)
+        pair_of[here[at]] = key[at]
+        here[at[pair_of[here[at]] != key[at]]] = none
+        take = at[(here[at] < rank[at]) & (here[at] <= rank[at + 2])]
         if not len(take):
             break
-        used, new = np.unique(here[take], return_inverse=True)
-        chosen = pairs[order[used]]
+        uses = np.bincount(here[take], minlength=len(cells))
+        take = take[uses[here[take]] >= least]
+        new_of = np.cumsum(uses >= least) - 1
+        chosen = pair_of[uses >= least]
         split = np.stack((chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)) if wide else (chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)), 1)
-        seq[take] = (base + len(rules) + new).astype(np.uint32)
+        seq[take] = (base + len(rules) + new_of[here[take]]).astype(np.uint32)
         rules.extend(split.astype(np.uint32).tolist())
         last = last.copy()
         last[take] = last[take + 1]

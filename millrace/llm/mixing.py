@@ -22,7 +22,7 @@ from .common import staged
 
 #: The most labelled rows the classifier is fitted on, its vocabulary, and the most distinct domains.
 TRAIN_ROWS, VOCABULARY, MOST_DOMAINS = 4_000, 768, 256
-STEPS, TOLERANCE, STEP_SIZE = 40, 1e-6, 1.0
+STEPS, TOLERANCE, CHANGE, STEP_SIZE = 12, 1e-6, 1e-4, 1.0
 _CELLS = 1 << 12
 
 
@@ -112,8 +112,9 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
 def solve_rates(members: DataFrame, k: int, weights: list[float], budget: float | None = None, floor: float = 0.0, steps: int = STEPS) -> tuple[DataFrame, list[list[float]]]:
     """members with column rate, and the domain token totals that each step started from.
 
-    Every step is one aggregate over the (staged) table; k numbers reach the driver. budget: the
-    total of the targets, in tokens; by default the least at which no domain must shrink.
+    Every step is one aggregate over the (staged) table; k numbers reach the driver. Steps end when
+    every total is on target or none moves by more than CHANGE of itself. budget: the total of the
+    targets, in tokens; by default the least at which no domain must shrink.
     """
     members = staged(members, "members")
     p = [F.col("posterior")[j] for j in range(k)]
@@ -135,7 +136,7 @@ def solve_rates(members: DataFrame, k: int, weights: list[float], budget: float
         rate = F.greatest(F.lit(float(floor)), rate - pull)
         row = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[j] * rate), F.lit(0.0)).alias(f"s{j}") for j in range(k))).first()
         now = [float(x) for x in row]
-        if len(trace) > 1 and sum(abs(a - b) for a, b in zip(now, trace[-1], strict=True)) <= TOLERANCE * (sum(now) or 1.0):
+        if all(abs(a - b) <= CHANGE * (b or 1.0) for a, b in zip(now, trace[-1], strict=True)):
             break
     return members.withColumn("rate", rate), trace
 

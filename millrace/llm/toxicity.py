@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod
 
-#: The most labelled rows that the fit looks at, and the most characters it reads of their distinct words.
-TRAIN_ROWS, LEXICON = 8_000, 500
+#: The most labelled rows that the fit looks at, lexical arcs that it keeps, and frequent word beginnings of toxic rows that it weighs for them.
+TRAIN_ROWS, LEXICON, STEMS = 8_000, 500, 30_000
 _SEEDS = {
     "insult": "idiot moron imbecile scumbag bastard loser dumbass jackass halfwit degenerate",
     "threat": "kill murder strangle stab behead lynch exterminate",
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
         p, n = totals.get(1, 0), totals.get(0, 0)
         learned: dict[str, float] = {}
         if p and n:
-            pos = {r.stem: r.n for r in _counted(train.where("y > 0")).where(F.col("n") >= max(3, p // 200)).orderBy(F.desc("n"), "stem").limit(100_000).collect()}
+            pos = {r.stem: r.n for r in _counted(train.where("y > 0")).where(F.col("n") >= max(3, p // 200)).orderBy(F.desc("n"), "stem").limit(STEMS).collect()}
             neg = {r.stem: r.n for r in _counted(train.where("y <= 0"), pos).collect()}
             odds = {s: math.log((k + 0.5) / (p + 1) / ((neg.get(s, 0) + 0.5) / (n + 1))) for s, k in pos.items()}
             ranked = sorted((s for s in odds if odds[s] >= 2.5), key=lambda s: (-odds[s] * math.sqrt(pos[s]), -len(s.rstrip("*")), s))

@@ -28,8 +28,8 @@ ORDER_SAMPLE, FREQUENT = 8_000, 4
 #: Id sets up to this many entries (8 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _TEXTS, _PER_SALT = 2_000, 512
-#: Regions of so many members get their distances to the pivot; the join radius.
-_LARGE, _RADIUS = 8, 0.2
+#: Cells with a region of so many members get all their distances to the pivot; the join radius.
+_LARGE, _RADIUS = 256, 0.2
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
@@ -240,14 +240,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     held = held.groupBy("id").agg(F.sum("times").alias("held"))  # how many pivots a set shares with any other
     sizes = described.where("window is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"))
     shared = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), F.col("times")), lambda i: F.xxhash64("region", i))))  # a window's length at most
-    open_ = member.join(mixed.where("lo <> hi"), "region").where("id <> pivot").groupBy("pivot", "id").agg(F.first("cell").alias("cell"), F.max("size").alias("size"), shared.alias("shared"))
-    open_ = staged(open_.join(sizes, "id").join(held, "id"), "open")
+    mixed = mixed.where("lo <> hi")
+    largest = mixed.groupBy("pivot").agg(F.max("size").alias("size"))
+    open_ = member.join(mixed.drop("size"), "region").where("id <> pivot").groupBy("pivot", "id").agg(F.first("cell").alias("cell"), shared.alias("shared"))
+    open_ = staged(open_.join(sizes, "id").join(held, "id").join(largest, "pivot"), "open")
     far = staged(_verify(docs, open_.where(F.col("size") >= _LARGE).select(F.col("pivot").alias("a"), F.col("id").alias("b")), every=True), "far")
     far = far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("common") / F.col("total")).alias("far"))
     # The window: a pair within 0.2 has distances to the pivot within 0.2, so it meets in a band of that width or beside it.
     open_ = open_.join(far, ["id", "pivot"], "left").withColumn("band", F.coalesce(F.floor(F.col("far") / _RADIUS).cast("int"), F.lit(0)))
     x, y = (open_.select("pivot", "band", (F.col("held") - F.size("shared")).alias(f"rest_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cell", "n", "far", "shared"))) for s in "xy")
-    y = y.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    y = y.withColumn("band", F.explode(F.when(F.col("far_y").isNull(), F.array("band")).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
     window = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= _RADIUS + 1e-9, F.lit(True))
     here = F.size(F.array_intersect("shared_x", "shared_y")).cast("long")
     may = _worth("n_x", "n_y", here + F.least("rest_x", "rest_y"))

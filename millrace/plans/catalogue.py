@@ -23,9 +23,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load_all() -> None:
+    from . import extra, relational, scalar, tpch  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load_all()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load_all()
     return _ORACLES

@@ -74,3 +74,78 @@ def roc_auc(df: DataFrame, y: str, q: str) -> DataFrame:
     w = Window.orderBy(q).rowsBetween(Window.unboundedPreceding, -1)
     run = by.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
     return run.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+
+
+def hinge_loss(y: Column, score: Column) -> Column:
+    """y is 0 or 1."""
+    return F.avg(F.greatest(1 - (2 * y - 1) * score, F.lit(0.0)))
+
+
+def squared_hinge_loss(y: Column, score: Column) -> Column:
+    m = F.greatest(1 - (2 * y - 1) * score, F.lit(0.0))
+    return F.avg(m * m)
+
+
+def poisson_deviance(y: Column, p: Column) -> Column:
+    return 2 * F.avg(F.when(y > 0, y * F.ln(y / p)).otherwise(0.0) - (y - p))
+
+
+def gamma_deviance(y: Column, p: Column) -> Column:
+    return 2 * F.avg(F.ln(p / y) + y / p - 1)
+
+
+def tweedie_deviance(y: Column, p: Column, power: float = 1.5) -> Column:
+    k = power
+    return 2 * F.avg(F.pow(F.greatest(y, F.lit(0.0)), F.lit(2 - k)) / ((1 - k) * (2 - k)) - y * F.pow(p, F.lit(1 - k)) / (1 - k) + F.pow(p, F.lit(2 - k)) / (2 - k))
+
+
+def concordance_correlation(y: Column, p: Column) -> Column:
+    d = F.avg(y) - F.avg(p)
+    return F.try_divide(2 * F.covar_pop(y, p), F.var_pop(y) + F.var_pop(p) + d * d)
+
+
+def kling_gupta_efficiency(y: Column, p: Column) -> Column:
+    a, b = F.corr(y, p) - 1, F.try_divide(F.stddev_pop(p), F.stddev_pop(y)) - 1
+    c = F.try_divide(F.avg(p), F.avg(y)) - 1
+    return 1 - F.sqrt(a * a + b * b + c * c)
+
+
+nash_sutcliffe_efficiency = r2
+
+
+def rate(condition: Column) -> Column:
+    """Share of rows for which a condition holds; rows where it is null don't count."""
+    return F.avg(condition.cast("double"))
+
+
+#: What a text must hold to count in the rate of that name.
+TEXT_RATES = {
+    "email_rate": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone_rate": r"\+?[0-9][0-9() .-]{6,}[0-9]",
+    "ssn_like_rate": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "credit_card_like_rate": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b",
+    "heading_rate": r"(?m)^#{1,6} ",
+    "bullet_list_rate": r"(?m)^\s*[-*] ",
+    "numbered_list_rate": r"(?m)^\s*[0-9]+\. ",
+    "markdown_link_rate": r"\[[^\]]+\]\([^)]+\)",
+    "table_rate": r"(?m)^\|.*\|$",
+    "code_block_present_rate": r"```",
+    "question_rate": r"\?\s*$",
+    "exclamation_rate": r"!\s*$",
+    "hedge_rate": r"(?i)\b(maybe|perhaps|possibly|might|could be|i think)\b",
+    "first_person_rate": r"(?i)\b(i|me|my|mine|we|our)\b",
+    "politeness_rate": r"(?i)\b(please|thank you|thanks|sorry)\b",
+    "refusal_rate": r"(?i)\b(i can't|i cannot|i'm unable|i am unable)\b",
+    "private_key_rate": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "data_uri_rate": r"data:[a-z]+/[a-z0-9.+-]+;base64,",
+    "unsafe_html_rate": r"(?i)<script|javascript:|onerror=",
+    "sql_injection_rate": r"(?i)('\s*or\s+'?1'?\s*=\s*'?1|union\s+select|drop\s+table)",
+    "cjk_rate": r"[\u4e00-\u9fff]",
+    "cyrillic_rate": r"[\u0400-\u04ff]",
+    "arabic_rate": r"[\u0600-\u06ff]",
+    "boxed_answer_rate": r"\\boxed\{",
+}
+
+
+def text_rate(name: str, text: Column) -> Column:
+    return rate(text.rlike(TEXT_RATES[name]))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import metrics as M
+from ..functions import rigid as B
 from ..functions import sequences as Q
 from ..operators import graph, merge, quality
 from ..streaming import operators as st
@@ -97,3 +98,39 @@ def target_encode(spark, sf_dir):
     p = load(spark, sf_dir, "part")
     means = p.groupBy("p_brand").agg(F.avg("p_retailprice").alias("m"))
     return p.join(means, "p_brand").select("p_partkey", r(c("m")).alias("value"))
+
+
+for _n, _pattern in M.TEXT_RATES.items():
+    if "\\u" not in _pattern and "'" not in _pattern and "\\b" not in _pattern:  # word boundaries differ between the dialects
+        query(f"metric_{_n}", f"SELECT lang, round(avg(regexp_matches(text, '{_pattern}')::INTEGER), 6) AS value FROM documents GROUP BY 1", "documents")(lambda d, n=_n: d.groupBy("lang").agg(r(M.text_rate(n, c("text"))).alias("value")))
+    else:
+        query(f"metric_{_n}", None, "documents")(lambda d, n=_n: d.groupBy("lang").agg(r(M.text_rate(n, c("text"))).alias("value")))
+
+_Y, _P = "(l_tax + 0.1)", "(l_discount + 0.2)"
+for _m, _sql in [
+    (M.poisson_deviance, f"2 * avg({_Y} * ln({_Y} / {_P}) - ({_Y} - {_P}))"),
+    (M.gamma_deviance, f"2 * avg(ln({_P} / {_Y}) + {_Y} / {_P} - 1)"),
+    (M.concordance_correlation, f"2 * covar_pop({_Y}, {_P}) / (var_pop({_Y}) + var_pop({_P}) + pow(avg({_Y}) - avg({_P}), 2))"),
+    (M.kling_gupta_efficiency, f"1 - sqrt(pow(corr({_Y}, {_P}) - 1, 2) + pow(stddev_pop({_P}) / stddev_pop({_Y}) - 1, 2) + pow(avg({_P}) / avg({_Y}) - 1, 2))"),
+    (M.r2, f"1 - sum(pow({_Y} - {_P}, 2)) / regr_syy({_Y}, {_Y})"),
+    (M.mape, f"avg(abs(({_Y} - {_P}) / {_Y}))"),
+]:
+    query(f"metric_{_m.__name__}", f"SELECT l_returnflag, round({_sql}, 5) AS value FROM lineitem GROUP BY 1", "lineitem")(lambda l, m=_m: l.groupBy("l_returnflag").agg(r(m(c("l_tax") + 0.1, c("l_discount") + 0.2), 5).alias("value")))
+
+_p = B.vec(c("l_quantity"), c("l_tax") * 100, c("l_discount") * 100)
+_half = B.quat(0, 0, 2**-0.5, 2**-0.5)  # a quarter turn about z
+for _name, _column, _sql in [
+    ("norm", B.norm(_p), "sqrt(pow(l_quantity, 2) + pow(l_tax * 100, 2) + pow(l_discount * 100, 2))"),
+    ("azimuth", B.azimuth(_p), "atan2(l_tax * 100, l_quantity)"),
+    ("elevation", B.elevation(_p), "atan2(l_discount * 100, sqrt(pow(l_quantity, 2) + pow(l_tax * 100, 2)))"),
+    ("distance", B.distance(_p, B.vec(1, 2, 3)), "sqrt(pow(l_quantity - 1, 2) + pow(l_tax * 100 - 2, 2) + pow(l_discount * 100 - 3, 2))"),
+    ("rotate_x", B.rotate(_half, _p)["x"] + 1000, "1000 - l_tax * 100"),
+    ("transform_y", B.transform(B.vec(1, 2, 3), _half, _p)["y"], "l_quantity + 2"),
+    ("inverse_transform_x", B.inverse_transform(B.vec(1, 2, 3), _half, _p)["x"] + 1000, "1000 + l_tax * 100 - 2"),
+    ("quat_angle", B.quat_angle(B.quat_from_axis_angle(B.vec(0, 0, 1), c("l_tax"))), "l_tax"),
+    ("quat_angular_distance", B.quat_angular_distance(B.quat(0, 0, 0, 1), _half), "pi() / 2"),
+    ("slerp_angle", B.quat_angle(B.slerp(B.quat(0, 0, 0, 1), _half, c("l_discount") * 5 + 0.2)), "(l_discount * 5 + 0.2) * pi() / 2"),
+    ("euler_yaw", B.euler_from_quat(B.quat_from_euler(F.lit(0.1), F.lit(0.2), c("l_tax")))["yaw"], "l_tax"),
+    ("voxel", B.voxel(_p, 5.0)["x"].cast("double"), "floor(l_quantity / 5)"),
+]:
+    query(f"rigid_{_name}", f"SELECT l_orderkey, l_linenumber, round({_sql} + 3e-7, 5) AS value FROM lineitem", "lineitem")(lambda l, column=_column: l.select("l_orderkey", "l_linenumber", r(column + 3e-7, 5).alias("value")))

@@ -37,8 +37,13 @@ def _small(t):
 
 
 DNA = "upper(translate(regexp_replace(lower(left(text, 120)), '[^aeio]', '', 'g'), 'aeio', 'ACGT'))"
-dna = F.upper(F.translate(F.regexp_replace(F.lower(F.left("text", F.lit(120))), "[^aeio]", ""), "aeio", "ACGT"))
-PT = "(c_acctbal, c_nationkey)"
+
+
+def dna():
+    """Text as bases."""
+    return F.upper(F.translate(F.regexp_replace(F.lower(F.left("text", F.lit(120))), "[^aeio]", ""), "aeio", "ACGT"))
+
+
 
 for name, sql, tables, f in [
     ("dq_validate", f"SELECT * FROM (VALUES ('o_custkey not null', (SELECT count(*) FROM orders WHERE o_custkey IS NULL), (SELECT count(*) FROM orders)), ('o_totalprice in range', (SELECT count(*) FROM orders WHERE NOT o_totalprice BETWEEN 1000 AND 400000), (SELECT count(*) FROM orders)), ('o_orderstatus accepted', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')), (SELECT count(*) FROM orders)), ('o_orderpriority matches', (SELECT count(*) FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-3]-')), (SELECT count(*) FROM orders))) t(rule, failed, total)", "orders", lambda o: RULES().validate(o)),
@@ -59,11 +64,11 @@ for name, sql, tables, f in [
     ("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL", "events", lambda e: st.windowed(e, "ts", "1 hour", [F.count("*").alias("n")], ["event_type"])),
     ("stream_sessions", "SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 3 HOUR THEN 1 ELSE 0 END AS f FROM events)) GROUP BY user_id, s", "events", lambda e: st.session_windows(e, "ts", "3 hours", [F.count("*").alias("n")], ["user_id"])),
     ("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events", "events", lambda e: st.deduplicated(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type")),
-    ("seq_reverse_complement", f"SELECT doc_id, reverse(translate({DNA}, 'ACGT', 'TGCA')) AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.reverse_complement(dna).alias("value"))),
-    ("seq_gc_content", f"SELECT doc_id, round(len(regexp_extract_all({DNA}, '[GC]')) / nullif(length({DNA}), 0)::DOUBLE, 6) AS value FROM documents", "documents", lambda d: d.select("doc_id", r(Q.gc_content(dna)).alias("value"))),
-    ("seq_transcribe", f"SELECT doc_id, replace({DNA}, 'T', 'U') AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.transcribe(dna).alias("value"))),
-    ("seq_kmers", f"SELECT doc_id, array_to_string([substr({DNA}, i, 4) FOR i IN range(1, length({DNA}) - 2)], ',') AS value FROM documents", "documents", lambda d: d.select("doc_id", F.array_join(Q.kmers(dna, 4), ",").alias("value"))),
-    ("seq_translate", None, "documents", lambda d: d.select("doc_id", Q.translate(dna).alias("value"))),
+    ("seq_reverse_complement", f"SELECT doc_id, reverse(translate({DNA}, 'ACGT', 'TGCA')) AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.reverse_complement(dna()).alias("value"))),
+    ("seq_gc_content", f"SELECT doc_id, round(len(regexp_extract_all({DNA}, '[GC]')) / nullif(length({DNA}), 0)::DOUBLE, 6) AS value FROM documents", "documents", lambda d: d.select("doc_id", r(Q.gc_content(dna())).alias("value"))),
+    ("seq_transcribe", f"SELECT doc_id, replace({DNA}, 'T', 'U') AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.transcribe(dna()).alias("value"))),
+    ("seq_kmers", f"SELECT doc_id, array_to_string([substr({DNA}, i, 4) FOR i IN range(1, length({DNA}) - 2)], ',') AS value FROM documents", "documents", lambda d: d.select("doc_id", F.array_join(Q.kmers(dna(), 4), ",").alias("value"))),
+    ("seq_translate", None, "documents", lambda d: d.select("doc_id", Q.translate(dna()).alias("value"))),
     ("geo_distance", "SELECT c_custkey, round(sqrt(pow(c_acctbal - 100, 2) + pow(c_nationkey - 7, 2)), 6) AS value FROM customer", "customer", lambda t: t.select("c_custkey", r(G.distance(G.point(c("c_acctbal"), c("c_nationkey")), G.point(F.lit(100), F.lit(7)))).alias("value"))),
     ("geo_area", "SELECT c_custkey, round(abs(c_acctbal) * (c_nationkey + 1), 4) AS value FROM customer", "customer", lambda t: t.select("c_custkey", r(G.area(G.box(G.point(F.lit(0), F.lit(0)), G.point(c("c_acctbal"), c("c_nationkey") + 1))), 4).alias("value"))),
     ("geo_contains", "SELECT c_custkey, c_acctbal > 0.5 AND c_acctbal < 5000.5 AND c_nationkey > 2.5 AND c_nationkey < 9.5 AS value FROM customer", "customer", lambda t: t.select("c_custkey", G.contains(G.box(G.point(F.lit(0.5), F.lit(2.5)), G.point(F.lit(5000.5), F.lit(9.5))), G.point(c("c_acctbal"), c("c_nationkey"))).alias("value"))),
@@ -117,20 +122,28 @@ for _m, _sql in [
 ]:
     query(f"metric_{_m.__name__}", f"SELECT l_returnflag, round({_sql}, 5) AS value FROM lineitem GROUP BY 1", "lineitem")(lambda l, m=_m: l.groupBy("l_returnflag").agg(r(m(c("l_tax") + 0.1, c("l_discount") + 0.2), 5).alias("value")))
 
-_p = B.vec(c("l_quantity"), c("l_tax") * 100, c("l_discount") * 100)
-_half = B.quat(0, 0, 2**-0.5, 2**-0.5)  # a quarter turn about z
+
+def _p():
+    return B.vec(c("l_quantity"), c("l_tax") * 100, c("l_discount") * 100)
+
+
+def _half():
+    """A quarter turn about z."""
+    return B.quat(0, 0, 2**-0.5, 2**-0.5)
+
+
 for _name, _column, _sql in [
-    ("norm", B.norm(_p), "sqrt(pow(l_quantity, 2) + pow(l_tax * 100, 2) + pow(l_discount * 100, 2))"),
-    ("azimuth", B.azimuth(_p), "atan2(l_tax * 100, l_quantity)"),
-    ("elevation", B.elevation(_p), "atan2(l_discount * 100, sqrt(pow(l_quantity, 2) + pow(l_tax * 100, 2)))"),
-    ("distance", B.distance(_p, B.vec(1, 2, 3)), "sqrt(pow(l_quantity - 1, 2) + pow(l_tax * 100 - 2, 2) + pow(l_discount * 100 - 3, 2))"),
-    ("rotate_x", B.rotate(_half, _p)["x"] + 1000, "1000 - l_tax * 100"),
-    ("transform_y", B.transform(B.vec(1, 2, 3), _half, _p)["y"], "l_quantity + 2"),
-    ("inverse_transform_x", B.inverse_transform(B.vec(1, 2, 3), _half, _p)["x"] + 1000, "1000 + l_tax * 100 - 2"),
-    ("quat_angle", B.quat_angle(B.quat_from_axis_angle(B.vec(0, 0, 1), c("l_tax"))), "l_tax"),
-    ("quat_angular_distance", B.quat_angular_distance(B.quat(0, 0, 0, 1), _half), "pi() / 2"),
-    ("slerp_angle", B.quat_angle(B.slerp(B.quat(0, 0, 0, 1), _half, c("l_discount") * 5 + 0.2)), "(l_discount * 5 + 0.2) * pi() / 2"),
-    ("euler_yaw", B.euler_from_quat(B.quat_from_euler(F.lit(0.1), F.lit(0.2), c("l_tax")))["yaw"], "l_tax"),
-    ("voxel", B.voxel(_p, 5.0)["x"].cast("double"), "floor(l_quantity / 5)"),
+    ("norm", lambda: B.norm(_p()), "sqrt(pow(l_quantity, 2) + pow(l_tax * 100, 2) + pow(l_discount * 100, 2))"),
+    ("azimuth", lambda: B.azimuth(_p()), "atan2(l_tax * 100, l_quantity)"),
+    ("elevation", lambda: B.elevation(_p()), "atan2(l_discount * 100, sqrt(pow(l_quantity, 2) + pow(l_tax * 100, 2)))"),
+    ("distance", lambda: B.distance(_p(), B.vec(1, 2, 3)), "sqrt(pow(l_quantity - 1, 2) + pow(l_tax * 100 - 2, 2) + pow(l_discount * 100 - 3, 2))"),
+    ("rotate_x", lambda: B.rotate(_half(), _p())["x"] + 1000, "1000 - l_tax * 100"),
+    ("transform_y", lambda: B.transform(B.vec(1, 2, 3), _half(), _p())["y"], "l_quantity + 2"),
+    ("inverse_transform_x", lambda: B.inverse_transform(B.vec(1, 2, 3), _half(), _p())["x"] + 1000, "1000 + l_tax * 100 - 2"),
+    ("quat_angle", lambda: B.quat_angle(B.quat_from_axis_angle(B.vec(0, 0, 1), c("l_tax"))), "l_tax"),
+    ("quat_angular_distance", lambda: B.quat_angular_distance(B.quat(0, 0, 0, 1), _half()), "pi() / 2"),
+    ("slerp_angle", lambda: B.quat_angle(B.slerp(B.quat(0, 0, 0, 1), _half(), c("l_discount") * 5 + 0.2)), "(l_discount * 5 + 0.2) * pi() / 2"),
+    ("euler_yaw", lambda: B.euler_from_quat(B.quat_from_euler(F.lit(0.1), F.lit(0.2), c("l_tax")))["yaw"], "l_tax"),
+    ("voxel", lambda: B.voxel(_p(), 5.0)["x"].cast("double"), "floor(l_quantity / 5)"),
 ]:
-    query(f"rigid_{_name}", f"SELECT l_orderkey, l_linenumber, round({_sql} + 3e-7, 5) AS value FROM lineitem", "lineitem")(lambda l, column=_column: l.select("l_orderkey", "l_linenumber", r(column + 3e-7, 5).alias("value")))
+    query(f"rigid_{_name}", f"SELECT l_orderkey, l_linenumber, round({_sql} + 3e-7, 5) AS value FROM lineitem", "lineitem")(lambda l, column=_column: l.select("l_orderkey", "l_linenumber", r(column() + 3e-7, 5).alias("value")))

@@ -13,6 +13,16 @@ from .catalogue import register
 from .common import load
 
 c = F.col
+x = y = i = w = wv = run = None
+
+
+def _columns() -> None:
+    """Columns and windows that many queries share; they need a session, so they are made when a query runs."""
+    global x, y, i, w, wv, run
+    x, y, i = c("l_extendedprice") / 1000, c("l_quantity"), c("l_partkey")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    wv = Window.partitionBy("user_id").orderBy("value", "event_id")
+    run = W.running(w)
 
 
 def r(x: Column, n: int = 4) -> Column:
@@ -23,7 +33,11 @@ def query(name: str, sql: str | None, tables: str):
     """Register f(*tables) under a name."""
 
     def add(f):
-        register(name, sql)(lambda spark, sf_dir: f(*(load(spark, sf_dir, t) for t in tables.split())))
+        def run(spark, sf_dir):
+            _columns()
+            return f(*(load(spark, sf_dir, t) for t in tables.split()))
+
+        register(name, sql)(run)
         return f
 
     return add
@@ -99,86 +113,83 @@ for name, sql, tables, f in [
 
 # Aggregates over lineitem by flag: (name, Column, SQL).
 X, Y, WT = "l_extendedprice / 1000", "l_quantity", "l_quantity"
-x = c("l_extendedprice") / 1000
-y = c("l_quantity")
-i = c("l_partkey")
 Q = "quantile_cont(l_extendedprice / 1000, {})"
 for name, column, sql in [
-    ("count", F.count("*"), "count(*)"),
-    ("sum", r(F.sum(x)), f"round(sum({X}), 4)"),
-    ("mean", r(F.avg(x)), f"round(avg({X}), 4)"),
-    ("min", F.min(y), "min(l_quantity)"),
-    ("max", F.max(y), "max(l_quantity)"),
-    ("median", r(F.median(x)), f"round(median({X}), 4)"),
-    ("std", r(F.stddev_samp(x)), f"round(stddev_samp({X}), 4)"),
-    ("var", r(F.var_samp(x)), f"round(var_samp({X}), 4)"),
-    ("stddev_pop", r(F.stddev_pop(x)), f"round(stddev_pop({X}), 4)"),
-    ("var_pop", r(F.var_pop(x)), f"round(var_pop({X}), 4)"),
-    ("n_unique", F.count_distinct(i), "count(DISTINCT l_partkey)"),
-    ("product", r(F.product(1 + c("l_tax") / 1000)), "round(product(1 + l_tax / 1000), 4)"),
-    ("skewness", r(A.skewness(x)), f"round(skewness({X}), 4)"),
-    ("kurtosis", r(A.kurtosis(x)), f"round(kurtosis({X}), 4)"),
-    ("bool_and", F.bool_and(y > 0), "bool_and(l_quantity > 0)"),
-    ("bool_or", F.bool_or(y > 49), "bool_or(l_quantity > 49)"),
-    ("bit_and", F.bit_and(i.bitwiseOR(F.lit(5))), "bit_and(l_partkey | 5)"),
-    ("bit_or", F.bit_or(i), "bit_or(l_partkey)"),
-    ("bit_xor", F.bit_xor(i), "bit_xor(l_partkey)"),
-    ("any_value", F.min(i), "min(l_partkey)"),
-    ("count_if", F.count_if(y > 25), "count_if(l_quantity > 25)::BIGINT"),
-    ("quantile", r(F.percentile(x, 0.9)), f"round({Q.format(0.9)}, 4)"),
-    ("quantile_disc", F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)"), "quantile_disc(l_quantity, 0.5)"),
-    ("corr", r(F.corr(x, y), 6), f"round(corr({X}, {Y}), 6)"),
-    ("covar_pop", r(F.covar_pop(x, y)), f"round(covar_pop({X}, {Y}), 4)"),
-    ("covar_samp", r(F.covar_samp(x, y)), f"round(covar_samp({X}, {Y}), 4)"),
-    ("regr_slope", r(F.regr_slope(x, y)), f"round(regr_slope({X}, {Y}), 4)"),
-    ("regr_intercept", r(F.regr_intercept(x, y)), f"round(regr_intercept({X}, {Y}), 4)"),
-    ("regr_r2", r(F.regr_r2(x, y)), f"round(regr_r2({X}, {Y}), 4)"),
-    ("regr_count", F.regr_count(x, y), f"regr_count({X}, {Y})::BIGINT"),
-    ("regr_avgx", r(F.regr_avgx(x, y)), f"round(regr_avgx({X}, {Y}), 4)"),
-    ("regr_avgy", r(F.regr_avgy(x, y)), f"round(regr_avgy({X}, {Y}), 4)"),
-    ("regr_sxx", r(F.regr_sxx(x, y), 2), f"round(regr_sxx({X}, {Y}), 2)"),
-    ("regr_syy", r(F.regr_syy(x, y), 2), f"round(regr_syy({X}, {Y}), 2)"),
-    ("regr_sxy", r(F.regr_sxy(x, y), 2), f"round(regr_sxy({X}, {Y}), 2)"),
-    ("geometric_mean", r(A.geometric_mean(x)), f"round(exp(avg(ln({X}))), 4)"),
-    ("harmonic_mean", r(A.harmonic_mean(x)), f"round(count({X}) / sum(1 / ({X})), 4)"),
-    ("rms", r(A.rms(x)), f"round(sqrt(avg({X} * {X})), 4)"),
-    ("cv", r(A.cv(x)), f"round(stddev_samp({X}) / avg({X}), 4)"),
-    ("sem", r(A.sem(x)), f"round(stddev_samp({X}) / sqrt(count({X})), 4)"),
-    ("midrange", r(A.midrange(x)), f"round((max({X}) + min({X})) / 2, 4)"),
-    ("value_range", r(A.value_range(x)), f"round(max({X}) - min({X}), 4)"),
-    ("weighted_mean", r(A.weighted_mean(x, y)), f"round(sum({X} * {WT}) / sum({WT}), 4)"),
-    ("weighted_var", r(A.weighted_var(x, y), 2), f"round(sum({X} * {X} * {WT}) / sum({WT}) - pow(sum({X} * {WT}) / sum({WT}), 2), 2)"),
-    ("weighted_std", r(A.weighted_std(x, y), 3), f"round(sqrt(sum({X} * {X} * {WT}) / sum({WT}) - pow(sum({X} * {WT}) / sum({WT}), 2)), 3)"),
-    ("weighted_covariance", r(A.weighted_covariance(x, c("l_tax"), y)), f"round(sum({X} * l_tax * {WT}) / sum({WT}) - sum({X} * {WT}) / sum({WT}) * sum(l_tax * {WT}) / sum({WT}), 4)"),
-    ("weighted_correlation", r(A.weighted_correlation(x, c("l_tax"), y)), f"round((sum({X} * l_tax * {WT}) / sum({WT}) - sum({X} * {WT}) / sum({WT}) * sum(l_tax * {WT}) / sum({WT})) / sqrt((sum({X} * {X} * {WT}) / sum({WT}) - pow(sum({X} * {WT}) / sum({WT}), 2)) * (sum(l_tax * l_tax * {WT}) / sum({WT}) - pow(sum(l_tax * {WT}) / sum({WT}), 2))), 4)"),
-    ("q1", r(A.q1(x)), f"round({Q.format(0.25)}, 4)"),
-    ("q3", r(A.q3(x)), f"round({Q.format(0.75)}, 4)"),
-    ("iqr", r(A.iqr(x)), f"round({Q.format(0.75)} - {Q.format(0.25)}, 4)"),
-    ("midhinge", r(A.midhinge(x)), f"round(({Q.format(0.75)} + {Q.format(0.25)}) / 2, 4)"),
-    ("trimean", r(A.trimean(x)), f"round(({Q.format(0.75)} + 2 * {Q.format(0.5)} + {Q.format(0.25)}) / 4, 4)"),
-    ("quartile_dispersion", r(A.quartile_dispersion(x)), f"round(({Q.format(0.75)} - {Q.format(0.25)}) / ({Q.format(0.75)} + {Q.format(0.25)}), 4)"),
-    ("bowley_skew", r(A.bowley_skew(x)), f"round(({Q.format(0.75)} + {Q.format(0.25)} - 2 * {Q.format(0.5)}) / ({Q.format(0.75)} - {Q.format(0.25)}), 4)"),
-    ("interdecile_range", r(A.interdecile_range(x)), f"round({Q.format(0.9)} - {Q.format(0.1)}, 4)"),
-    ("decile_ratio", r(A.decile_ratio(x)), f"round({Q.format(0.9)} / {Q.format(0.1)}, 4)"),
-    ("index_of_dispersion", r(A.index_of_dispersion(x)), f"round(var_samp({X}) / avg({X}), 4)"),
-    ("signal_to_noise", r(A.signal_to_noise(x)), f"round(avg({X}) / stddev_samp({X}), 4)"),
-    ("studentized_range", r(A.studentized_range(x)), f"round((max({X}) - min({X})) / stddev_samp({X}), 4)"),
-    ("relative_range", r(A.relative_range(x)), f"round((max({X}) - min({X})) / avg({X}), 4)"),
-    ("geometric_std", r(A.geometric_std(x)), f"round(exp(stddev_samp(ln({X}))), 4)"),
-    ("moors_kurtosis", r(A.moors_kurtosis(x)), f"round((({Q.format(0.875)} - {Q.format(0.625)}) + ({Q.format(0.375)} - {Q.format(0.125)})) / ({Q.format(0.75)} - {Q.format(0.25)}), 4)"),
-    ("null_rate", r(A.null_rate(F.nullif(c("l_linenumber"), F.lit(1)))), "round(count(*) FILTER (l_linenumber = 1) / count(*), 4)"),
-    ("non_null_rate", r(A.non_null_rate(F.nullif(c("l_linenumber"), F.lit(1)))), "round(count(*) FILTER (l_linenumber <> 1) / count(*), 4)"),
-    ("nunique_ratio", r(A.nunique_ratio(i), 6), "round(count(DISTINCT l_partkey) / count(l_partkey), 6)"),
-    ("arg_min", F.min_by(c("l_orderkey"), F.struct("l_extendedprice", "l_orderkey")), "arg_min(l_orderkey, (l_extendedprice, l_orderkey))"),
-    ("arg_max", F.max_by(c("l_orderkey"), F.struct("l_extendedprice", "l_orderkey")), "arg_max(l_orderkey, (l_extendedprice, l_orderkey))"),
-    ("first", F.min_by(c("l_orderkey"), F.struct("l_shipdate", "l_orderkey")), "arg_min(l_orderkey, (l_shipdate, l_orderkey))"),
-    ("last", F.max_by(c("l_orderkey"), F.struct("l_shipdate", "l_orderkey")), "arg_max(l_orderkey, (l_shipdate, l_orderkey))"),
-    ("string_agg", F.length(A.string_agg(c("l_linenumber").cast("string"), ",", c("l_orderkey"))), "length(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_orderkey))::INTEGER"),
-    ("filtered_sum", r(F.sum(F.when(c("l_tax") > 0.04, y))), "round(sum(l_quantity) FILTER (l_tax > 0.04), 4)"),
-    ("approx_n_unique", F.approx_count_distinct("l_partkey") > 0, "true"),
-    ("approx_quantile", F.percentile_approx("l_quantity", 0.5, 10000), "quantile_disc(l_quantity, 0.5)"),
+    ("count", lambda: F.count("*"), "count(*)"),
+    ("sum", lambda: r(F.sum(x)), f"round(sum({X}), 4)"),
+    ("mean", lambda: r(F.avg(x)), f"round(avg({X}), 4)"),
+    ("min", lambda: F.min(y), "min(l_quantity)"),
+    ("max", lambda: F.max(y), "max(l_quantity)"),
+    ("median", lambda: r(F.median(x)), f"round(median({X}), 4)"),
+    ("std", lambda: r(F.stddev_samp(x)), f"round(stddev_samp({X}), 4)"),
+    ("var", lambda: r(F.var_samp(x)), f"round(var_samp({X}), 4)"),
+    ("stddev_pop", lambda: r(F.stddev_pop(x)), f"round(stddev_pop({X}), 4)"),
+    ("var_pop", lambda: r(F.var_pop(x)), f"round(var_pop({X}), 4)"),
+    ("n_unique", lambda: F.count_distinct(i), "count(DISTINCT l_partkey)"),
+    ("product", lambda: r(F.product(1 + c("l_tax") / 1000)), "round(product(1 + l_tax / 1000), 4)"),
+    ("skewness", lambda: r(A.skewness(x)), f"round(skewness({X}), 4)"),
+    ("kurtosis", lambda: r(A.kurtosis(x)), f"round(kurtosis({X}), 4)"),
+    ("bool_and", lambda: F.bool_and(y > 0), "bool_and(l_quantity > 0)"),
+    ("bool_or", lambda: F.bool_or(y > 49), "bool_or(l_quantity > 49)"),
+    ("bit_and", lambda: F.bit_and(i.bitwiseOR(F.lit(5))), "bit_and(l_partkey | 5)"),
+    ("bit_or", lambda: F.bit_or(i), "bit_or(l_partkey)"),
+    ("bit_xor", lambda: F.bit_xor(i), "bit_xor(l_partkey)"),
+    ("any_value", lambda: F.min(i), "min(l_partkey)"),
+    ("count_if", lambda: F.count_if(y > 25), "count_if(l_quantity > 25)::BIGINT"),
+    ("quantile", lambda: r(F.percentile(x, 0.9)), f"round({Q.format(0.9)}, 4)"),
+    ("quantile_disc", lambda: F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)"), "quantile_disc(l_quantity, 0.5)"),
+    ("corr", lambda: r(F.corr(x, y), 6), f"round(corr({X}, {Y}), 6)"),
+    ("covar_pop", lambda: r(F.covar_pop(x, y)), f"round(covar_pop({X}, {Y}), 4)"),
+    ("covar_samp", lambda: r(F.covar_samp(x, y)), f"round(covar_samp({X}, {Y}), 4)"),
+    ("regr_slope", lambda: r(F.regr_slope(x, y)), f"round(regr_slope({X}, {Y}), 4)"),
+    ("regr_intercept", lambda: r(F.regr_intercept(x, y)), f"round(regr_intercept({X}, {Y}), 4)"),
+    ("regr_r2", lambda: r(F.regr_r2(x, y)), f"round(regr_r2({X}, {Y}), 4)"),
+    ("regr_count", lambda: F.regr_count(x, y), f"regr_count({X}, {Y})::BIGINT"),
+    ("regr_avgx", lambda: r(F.regr_avgx(x, y)), f"round(regr_avgx({X}, {Y}), 4)"),
+    ("regr_avgy", lambda: r(F.regr_avgy(x, y)), f"round(regr_avgy({X}, {Y}), 4)"),
+    ("regr_sxx", lambda: r(F.regr_sxx(x, y), 2), f"round(regr_sxx({X}, {Y}), 2)"),
+    ("regr_syy", lambda: r(F.regr_syy(x, y), 2), f"round(regr_syy({X}, {Y}), 2)"),
+    ("regr_sxy", lambda: r(F.regr_sxy(x, y), 2), f"round(regr_sxy({X}, {Y}), 2)"),
+    ("geometric_mean", lambda: r(A.geometric_mean(x)), f"round(exp(avg(ln({X}))), 4)"),
+    ("harmonic_mean", lambda: r(A.harmonic_mean(x)), f"round(count({X}) / sum(1 / ({X})), 4)"),
+    ("rms", lambda: r(A.rms(x)), f"round(sqrt(avg({X} * {X})), 4)"),
+    ("cv", lambda: r(A.cv(x)), f"round(stddev_samp({X}) / avg({X}), 4)"),
+    ("sem", lambda: r(A.sem(x)), f"round(stddev_samp({X}) / sqrt(count({X})), 4)"),
+    ("midrange", lambda: r(A.midrange(x)), f"round((max({X}) + min({X})) / 2, 4)"),
+    ("value_range", lambda: r(A.value_range(x)), f"round(max({X}) - min({X}), 4)"),
+    ("weighted_mean", lambda: r(A.weighted_mean(x, y)), f"round(sum({X} * {WT}) / sum({WT}), 4)"),
+    ("weighted_var", lambda: r(A.weighted_var(x, y), 2), f"round(sum({X} * {X} * {WT}) / sum({WT}) - pow(sum({X} * {WT}) / sum({WT}), 2), 2)"),
+    ("weighted_std", lambda: r(A.weighted_std(x, y), 3), f"round(sqrt(sum({X} * {X} * {WT}) / sum({WT}) - pow(sum({X} * {WT}) / sum({WT}), 2)), 3)"),
+    ("weighted_covariance", lambda: r(A.weighted_covariance(x, c("l_tax"), y)), f"round(sum({X} * l_tax * {WT}) / sum({WT}) - sum({X} * {WT}) / sum({WT}) * sum(l_tax * {WT}) / sum({WT}), 4)"),
+    ("weighted_correlation", lambda: r(A.weighted_correlation(x, c("l_tax"), y)), f"round((sum({X} * l_tax * {WT}) / sum({WT}) - sum({X} * {WT}) / sum({WT}) * sum(l_tax * {WT}) / sum({WT})) / sqrt((sum({X} * {X} * {WT}) / sum({WT}) - pow(sum({X} * {WT}) / sum({WT}), 2)) * (sum(l_tax * l_tax * {WT}) / sum({WT}) - pow(sum(l_tax * {WT}) / sum({WT}), 2))), 4)"),
+    ("q1", lambda: r(A.q1(x)), f"round({Q.format(0.25)}, 4)"),
+    ("q3", lambda: r(A.q3(x)), f"round({Q.format(0.75)}, 4)"),
+    ("iqr", lambda: r(A.iqr(x)), f"round({Q.format(0.75)} - {Q.format(0.25)}, 4)"),
+    ("midhinge", lambda: r(A.midhinge(x)), f"round(({Q.format(0.75)} + {Q.format(0.25)}) / 2, 4)"),
+    ("trimean", lambda: r(A.trimean(x)), f"round(({Q.format(0.75)} + 2 * {Q.format(0.5)} + {Q.format(0.25)}) / 4, 4)"),
+    ("quartile_dispersion", lambda: r(A.quartile_dispersion(x)), f"round(({Q.format(0.75)} - {Q.format(0.25)}) / ({Q.format(0.75)} + {Q.format(0.25)}), 4)"),
+    ("bowley_skew", lambda: r(A.bowley_skew(x)), f"round(({Q.format(0.75)} + {Q.format(0.25)} - 2 * {Q.format(0.5)}) / ({Q.format(0.75)} - {Q.format(0.25)}), 4)"),
+    ("interdecile_range", lambda: r(A.interdecile_range(x)), f"round({Q.format(0.9)} - {Q.format(0.1)}, 4)"),
+    ("decile_ratio", lambda: r(A.decile_ratio(x)), f"round({Q.format(0.9)} / {Q.format(0.1)}, 4)"),
+    ("index_of_dispersion", lambda: r(A.index_of_dispersion(x)), f"round(var_samp({X}) / avg({X}), 4)"),
+    ("signal_to_noise", lambda: r(A.signal_to_noise(x)), f"round(avg({X}) / stddev_samp({X}), 4)"),
+    ("studentized_range", lambda: r(A.studentized_range(x)), f"round((max({X}) - min({X})) / stddev_samp({X}), 4)"),
+    ("relative_range", lambda: r(A.relative_range(x)), f"round((max({X}) - min({X})) / avg({X}), 4)"),
+    ("geometric_std", lambda: r(A.geometric_std(x)), f"round(exp(stddev_samp(ln({X}))), 4)"),
+    ("moors_kurtosis", lambda: r(A.moors_kurtosis(x)), f"round((({Q.format(0.875)} - {Q.format(0.625)}) + ({Q.format(0.375)} - {Q.format(0.125)})) / ({Q.format(0.75)} - {Q.format(0.25)}), 4)"),
+    ("null_rate", lambda: r(A.null_rate(F.nullif(c("l_linenumber"), F.lit(1)))), "round(count(*) FILTER (l_linenumber = 1) / count(*), 4)"),
+    ("non_null_rate", lambda: r(A.non_null_rate(F.nullif(c("l_linenumber"), F.lit(1)))), "round(count(*) FILTER (l_linenumber <> 1) / count(*), 4)"),
+    ("nunique_ratio", lambda: r(A.nunique_ratio(i), 6), "round(count(DISTINCT l_partkey) / count(l_partkey), 6)"),
+    ("arg_min", lambda: F.min_by(c("l_orderkey"), F.struct("l_extendedprice", "l_orderkey")), "arg_min(l_orderkey, (l_extendedprice, l_orderkey))"),
+    ("arg_max", lambda: F.max_by(c("l_orderkey"), F.struct("l_extendedprice", "l_orderkey")), "arg_max(l_orderkey, (l_extendedprice, l_orderkey))"),
+    ("first", lambda: F.min_by(c("l_orderkey"), F.struct("l_shipdate", "l_orderkey")), "arg_min(l_orderkey, (l_shipdate, l_orderkey))"),
+    ("last", lambda: F.max_by(c("l_orderkey"), F.struct("l_shipdate", "l_orderkey")), "arg_max(l_orderkey, (l_shipdate, l_orderkey))"),
+    ("string_agg", lambda: F.length(A.string_agg(c("l_linenumber").cast("string"), ",", c("l_orderkey"))), "length(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_orderkey))::INTEGER"),
+    ("filtered_sum", lambda: r(F.sum(F.when(c("l_tax") > 0.04, y))), "round(sum(l_quantity) FILTER (l_tax > 0.04), 4)"),
+    ("approx_n_unique", lambda: F.approx_count_distinct("l_partkey") > 0, "true"),
+    ("approx_quantile", lambda: F.percentile_approx("l_quantity", 0.5, 10000), "quantile_disc(l_quantity, 0.5)"),
 ]:
-    query(f"agg_{name}", f"SELECT l_returnflag, l_linestatus, {sql} AS value FROM lineitem GROUP BY 1, 2", "lineitem")(lambda l, column=column: l.groupBy("l_returnflag", "l_linestatus").agg(column.alias("value")))
+    query(f"agg_{name}", f"SELECT l_returnflag, l_linestatus, {sql} AS value FROM lineitem GROUP BY 1, 2", "lineitem")(lambda l, column=column: l.groupBy("l_returnflag", "l_linestatus").agg(column().alias("value")))
 
 for name, sql, tables, f in [
     ("mode", "SELECT p_brand, (SELECT p_size FROM part q WHERE q.p_brand = p.p_brand GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1) AS mode FROM (SELECT DISTINCT p_brand FROM part) p", "part", lambda p: A.mode(p, ["p_brand"], "p_size")),
@@ -197,50 +208,47 @@ for name, sql, tables, f in [
 
 # Windows over events by user in time order.
 WS = "OVER (PARTITION BY user_id ORDER BY event_id)"
-w = Window.partitionBy("user_id").orderBy("event_id")
-wv = Window.partitionBy("user_id").orderBy("value", "event_id")
-run = W.running(w)
 for name, column, sql in [
-    ("row_number", F.row_number().over(w), f"row_number() {WS}::INTEGER"),
-    ("rank", F.rank().over(Window.partitionBy("user_id").orderBy("event_type")), "rank() OVER (PARTITION BY user_id ORDER BY event_type)::INTEGER"),
-    ("dense_rank", F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")), "dense_rank() OVER (PARTITION BY user_id ORDER BY event_type)::INTEGER"),
-    ("percent_rank", r(F.percent_rank().over(w), 6), f"round(percent_rank() {WS}, 6)"),
-    ("cume_dist", r(F.cume_dist().over(w), 6), f"round(cume_dist() {WS}, 6)"),
-    ("ntile", F.ntile(4).over(w), f"ntile(4) {WS}::INTEGER"),
-    ("lag", F.lag("value", 2).over(w), f"lag(value, 2) {WS}"),
-    ("lead", F.lead("value", 1, -1.0).over(w), f"lead(value, 1, -1) {WS}"),
-    ("first_value", F.first("value").over(w), f"first_value(value) {WS}"),
-    ("last_value", F.last("value").over(w), f"last_value(value) {WS}"),
-    ("nth_value", F.nth_value("value", 3).over(w), f"nth_value(value, 3) {WS}"),
-    ("cum_sum", r(F.sum("value").over(run)), f"round(sum(value) {WS}, 4)"),
-    ("cum_min", F.min("value").over(run), f"min(value) {WS}"),
-    ("cum_max", F.max("value").over(run), f"max(value) {WS}"),
-    ("cum_count", F.count("value").over(run), f"count(value) {WS}"),
-    ("cum_prod", r(F.product(1 + c("value") / 10000).over(run) + 3e-7, 5), f"round(product(1 + value / 10000) {WS} + 3e-7, 5)"),
-    ("expanding_mean", r(F.avg("value").over(run) + 3e-6), f"round(avg(value) {WS} + 3e-6, 4)"),
-    ("cumulative_pct", r(F.sum("value").over(run) / F.sum("value").over(Window.partitionBy("user_id"))), f"round(sum(value) {WS} / sum(value) OVER (PARTITION BY user_id), 4)"),
-    ("rolling_mean", r(W.rolling(F.avg("value"), "value", w, 3)), "round(CASE WHEN count(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING) >= 3 THEN avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING) END, 4)"),
-    ("rolling_sum", r(W.rolling(F.sum("value"), "value", w, 3, 1)), "round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING), 4)"),
-    ("rolling_std", r(W.rolling(F.stddev_samp("value"), "value", w, 4)), "round(CASE WHEN count(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) >= 4 THEN stddev_samp(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) END, 4)"),
-    ("rolling_mean_by", r(W.rolling_by(F.avg("value"), ["user_id"], "ts", 3_600_000_000)), "round(avg(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 4)"),
-    ("rolling_count_by", W.rolling_by(F.count("value"), ["user_id"], "ts", 3_600_000_000), "count(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"),
-    ("rolling_min_by", W.rolling_by(F.min("value"), ["user_id"], "ts", 3_600_000_000), "min(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"),
-    ("diff", r(W.diff("value", w)), f"round(value - lag(value) {WS}, 4)"),
-    ("pct_change", r(W.pct_change("value", w)), f"round(value / nullif(lag(value) {WS}, 0) - 1, 4)"),
-    ("zscore", r(W.zscore("value", ["user_id"])), "round((value - avg(value) OVER (PARTITION BY user_id)) / stddev_samp(value) OVER (PARTITION BY user_id), 4)"),
-    ("minmax_scale", r(W.minmax_scale("value", ["user_id"])), "round((value - min(value) OVER (PARTITION BY user_id)) / (max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id)), 4)"),
-    ("mean_center", r(W.mean_center("value", ["user_id"])), "round(value - avg(value) OVER (PARTITION BY user_id), 4)"),
-    ("pct_of_total", r(W.pct_of_total("value", ["user_id"])), "round(value / sum(value) OVER (PARTITION BY user_id), 4)"),
-    ("rank_pct", r(W.rank_pct(wv, ["user_id"]), 6), "round(rank() OVER (PARTITION BY user_id ORDER BY value, event_id) / count(*) OVER (PARTITION BY user_id), 6)"),
-    ("is_unique", F.count("*").over(Window.partitionBy("value")) == 1, "count(*) OVER (PARTITION BY value) = 1"),
-    ("is_duplicated", F.count("*").over(Window.partitionBy("value")) > 1, "count(*) OVER (PARTITION BY value) > 1"),
-    ("is_first_distinct", F.row_number().over(Window.partitionBy("value").orderBy("event_id")) == 1, "row_number() OVER (PARTITION BY value ORDER BY event_id) = 1"),
-    ("is_last_distinct", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("event_id"))) == 1, "row_number() OVER (PARTITION BY value ORDER BY event_id DESC) = 1"),
-    ("peak_max", W.peak_max("value", w), f"coalesce(value > lag(value) {WS} AND value > lead(value) {WS}, false)"),
-    ("median", r(F.median("value").over(Window.partitionBy("user_id"))), "round(median(value) OVER (PARTITION BY user_id), 4)"),
-    ("count_distinct", F.size(F.collect_set("event_type").over(Window.partitionBy("user_id"))), "count(DISTINCT event_type) OVER (PARTITION BY user_id)::INTEGER"),
+    ("row_number", lambda: F.row_number().over(w), f"row_number() {WS}::INTEGER"),
+    ("rank", lambda: F.rank().over(Window.partitionBy("user_id").orderBy("event_type")), "rank() OVER (PARTITION BY user_id ORDER BY event_type)::INTEGER"),
+    ("dense_rank", lambda: F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")), "dense_rank() OVER (PARTITION BY user_id ORDER BY event_type)::INTEGER"),
+    ("percent_rank", lambda: r(F.percent_rank().over(w), 6), f"round(percent_rank() {WS}, 6)"),
+    ("cume_dist", lambda: r(F.cume_dist().over(w), 6), f"round(cume_dist() {WS}, 6)"),
+    ("ntile", lambda: F.ntile(4).over(w), f"ntile(4) {WS}::INTEGER"),
+    ("lag", lambda: F.lag("value", 2).over(w), f"lag(value, 2) {WS}"),
+    ("lead", lambda: F.lead("value", 1, -1.0).over(w), f"lead(value, 1, -1) {WS}"),
+    ("first_value", lambda: F.first("value").over(w), f"first_value(value) {WS}"),
+    ("last_value", lambda: F.last("value").over(w), f"last_value(value) {WS}"),
+    ("nth_value", lambda: F.nth_value("value", 3).over(w), f"nth_value(value, 3) {WS}"),
+    ("cum_sum", lambda: r(F.sum("value").over(run)), f"round(sum(value) {WS}, 4)"),
+    ("cum_min", lambda: F.min("value").over(run), f"min(value) {WS}"),
+    ("cum_max", lambda: F.max("value").over(run), f"max(value) {WS}"),
+    ("cum_count", lambda: F.count("value").over(run), f"count(value) {WS}"),
+    ("cum_prod", lambda: r(F.product(1 + c("value") / 10000).over(run) + 3e-7, 5), f"round(product(1 + value / 10000) {WS} + 3e-7, 5)"),
+    ("expanding_mean", lambda: r(F.avg("value").over(run) + 3e-6), f"round(avg(value) {WS} + 3e-6, 4)"),
+    ("cumulative_pct", lambda: r(F.sum("value").over(run) / F.sum("value").over(Window.partitionBy("user_id"))), f"round(sum(value) {WS} / sum(value) OVER (PARTITION BY user_id), 4)"),
+    ("rolling_mean", lambda: r(W.rolling(F.avg("value"), "value", w, 3)), "round(CASE WHEN count(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING) >= 3 THEN avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING) END, 4)"),
+    ("rolling_sum", lambda: r(W.rolling(F.sum("value"), "value", w, 3, 1)), "round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING), 4)"),
+    ("rolling_std", lambda: r(W.rolling(F.stddev_samp("value"), "value", w, 4)), "round(CASE WHEN count(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) >= 4 THEN stddev_samp(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) END, 4)"),
+    ("rolling_mean_by", lambda: r(W.rolling_by(F.avg("value"), ["user_id"], "ts", 3_600_000_000)), "round(avg(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 4)"),
+    ("rolling_count_by", lambda: W.rolling_by(F.count("value"), ["user_id"], "ts", 3_600_000_000), "count(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"),
+    ("rolling_min_by", lambda: W.rolling_by(F.min("value"), ["user_id"], "ts", 3_600_000_000), "min(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"),
+    ("diff", lambda: r(W.diff("value", w)), f"round(value - lag(value) {WS}, 4)"),
+    ("pct_change", lambda: r(W.pct_change("value", w)), f"round(value / nullif(lag(value) {WS}, 0) - 1, 4)"),
+    ("zscore", lambda: r(W.zscore("value", ["user_id"])), "round((value - avg(value) OVER (PARTITION BY user_id)) / stddev_samp(value) OVER (PARTITION BY user_id), 4)"),
+    ("minmax_scale", lambda: r(W.minmax_scale("value", ["user_id"])), "round((value - min(value) OVER (PARTITION BY user_id)) / (max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id)), 4)"),
+    ("mean_center", lambda: r(W.mean_center("value", ["user_id"])), "round(value - avg(value) OVER (PARTITION BY user_id), 4)"),
+    ("pct_of_total", lambda: r(W.pct_of_total("value", ["user_id"])), "round(value / sum(value) OVER (PARTITION BY user_id), 4)"),
+    ("rank_pct", lambda: r(W.rank_pct(wv, ["user_id"]), 6), "round(rank() OVER (PARTITION BY user_id ORDER BY value, event_id) / count(*) OVER (PARTITION BY user_id), 6)"),
+    ("is_unique", lambda: F.count("*").over(Window.partitionBy("value")) == 1, "count(*) OVER (PARTITION BY value) = 1"),
+    ("is_duplicated", lambda: F.count("*").over(Window.partitionBy("value")) > 1, "count(*) OVER (PARTITION BY value) > 1"),
+    ("is_first_distinct", lambda: F.row_number().over(Window.partitionBy("value").orderBy("event_id")) == 1, "row_number() OVER (PARTITION BY value ORDER BY event_id) = 1"),
+    ("is_last_distinct", lambda: F.row_number().over(Window.partitionBy("value").orderBy(F.desc("event_id"))) == 1, "row_number() OVER (PARTITION BY value ORDER BY event_id DESC) = 1"),
+    ("peak_max", lambda: W.peak_max("value", w), f"coalesce(value > lag(value) {WS} AND value > lead(value) {WS}, false)"),
+    ("median", lambda: r(F.median("value").over(Window.partitionBy("user_id"))), "round(median(value) OVER (PARTITION BY user_id), 4)"),
+    ("count_distinct", lambda: F.size(F.collect_set("event_type").over(Window.partitionBy("user_id"))), "count(DISTINCT event_type) OVER (PARTITION BY user_id)::INTEGER"),
 ]:
-    query(f"window_{name}", f"SELECT event_id, {sql} AS value FROM events", "events")(lambda e, column=column: e.select("event_id", column.alias("value")))
+    query(f"window_{name}", f"SELECT event_id, {sql} AS value FROM events", "events")(lambda e, column=column: e.select("event_id", column().alias("value")))
 
 for name, sql, tables, f in [
     ("groups_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_type GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW), 4) AS value FROM events", "events", lambda e: W.with_groups_frame(e, F.sum("value"), "s", ["user_id"], ["event_type"], 1, 0).select("event_id", r(c("s")).alias("value"))),

@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # the library's own word cache: only pieces that ours lacks get there
         self.base = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.base + ROUNDS * RULES_A_ROUND <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
@@ -55,8 +58,9 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         if len(self.cache) + len(pieces) > _MOST_CACHED:
             self.cache.clear()
+        kind = "H" if self.dtype.itemsize == 2 else "I"  # little-endian as the file is, on the machines that Spark's Arrow supports
         for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.cache[p] = np.array(e.ids, self.dtype).tobytes()
+            self.cache[p] = array(kind, e.ids).tobytes()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -77,17 +81,20 @@ class Encoder:
         if "\0" in text:  # the mark that cuts are made with
             return self._whole(text)
         quick = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-        get = self.cache.__getitem__
-        try:  # every cached piece that a cut made starts and ends safely
-            return b"".join(map(get, quick))
-        except KeyError:
-            new = {p for p in quick if p not in self.cache}
-        if all(map(self._safe, new)):
+        found = list(map(self.cache.get, quick))  # every cached piece that a cut made starts and ends safely
+        if None in found:
+            new = {p for p, f in zip(quick, found, strict=True) if f is None}
+            if not all(map(self._safe, new)):
+                return self._in_pieces(text)
             self._learn(list(new))
-            try:
-                return b"".join(map(get, quick))
-            except KeyError:  # the cache was emptied to make room
+            found = list(map(self.cache.get, quick))
+            if None in found:  # the cache was emptied to make room
                 return self._whole(text)
+        return b"".join(found)
+
+    def _in_pieces(self, text: str) -> bytes:
+        pieces = self.pieces(text)
+        self._learn(list({p for p in pieces if p not in self.cache and self._safe(p)}))
         return b"".join(self.cache[p] if p in self.cache else self._whole(p) for p in self.pieces(text))
 
     @staticmethod

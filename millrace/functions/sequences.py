@@ -39,8 +39,8 @@ def gc_skew(s: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    n = F.length(s) - (k - 1)
-    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(k))))
+    """Overlapping, in one pass over the text."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def canonical_kmers(s: Column, k: int) -> Column:
@@ -71,13 +71,12 @@ def expected_errors(q: Column, offset: int = 33) -> Column:
 
 def translate(s: Column, frame: int = 0) -> Column:
     """Amino acids of the whole codons from a frame; X for one with an unknown base."""
-    bases = F.upper(back_transcribe(s))
-    n = F.floor((F.length(bases) - frame) / 3).cast("int")
+    codons = F.regexp_extract_all(F.substring(F.upper(back_transcribe(s)), frame + 1, 2**31 - 1), F.lit("(?s).{3}"), F.lit(0))
 
-    def amino(i: Column) -> Column:
-        codes = [F.position(F.substring(bases, i * 3 + (frame + 1 + j), F.lit(1)), F.lit("TCAG")) - 1 for j in range(3)]
+    def amino(codon: Column) -> Column:
+        codes = [F.position(F.substring(codon, j + 1, 1), F.lit("TCAG")) - 1 for j in range(3)]
         at = codes[0] * 16 + codes[1] * 4 + codes[2]
         known = (codes[0] >= 0) & (codes[1] >= 0) & (codes[2] >= 0)
         return F.when(known, F.substring(F.lit(_CODE), at + 1, F.lit(1))).otherwise("X")
 
-    return F.when(n < 1, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), amino), ""))
+    return F.array_join(F.transform(codons, amino), "")

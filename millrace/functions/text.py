@@ -135,7 +135,7 @@ def char_entropy(c: Column) -> Column:
 
         return F.aggregate(chars, start, step, lambda s: -(s["sum"] + term(s["run"].cast("double"))) / n)
 
-    entropy = let(F.array_sort(F.filter(F.split(c, ""), lambda x: x != "")), lambda chars: let(F.size(chars).cast("double"), lambda n: bits(chars, n)))
+    entropy = let(F.sort_array(F.filter(F.split(c, ""), lambda x: x != "")), lambda chars: let(F.size(chars).cast("double"), lambda n: bits(chars, n)))
     return F.when(F.length(c) == 0, F.lit(0.0)).otherwise(entropy)
 
 

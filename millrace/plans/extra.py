@@ -39,9 +39,17 @@ def _small(t):
 DNA = "upper(translate(regexp_replace(lower(left(text, 120)), '[^aeio]', '', 'g'), 'aeio', 'ACGT'))"
 
 
-def dna():
-    """Text as bases."""
-    return F.upper(F.translate(F.regexp_replace(F.lower(F.left("text", F.lit(120))), "[^aeio]", ""), "aeio", "ACGT"))
+DNA_WHOLE = DNA.replace("left(text, 120)", "text")
+
+
+def dna(text=None):
+    """Text as bases: the whole text, or another column."""
+    return F.upper(F.translate(F.regexp_replace(F.lower(c("text") if text is None else text), "[^aeio]", ""), "aeio", "ACGT"))
+
+
+def dna_120():
+    """The prefix that the SQL of the four queries without _whole reads."""
+    return dna(F.left("text", F.lit(120)))
 
 
 
@@ -64,10 +72,14 @@ for name, sql, tables, f in [
     ("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL", "events", lambda e: st.windowed(e, "ts", "1 hour", [F.count("*").alias("n")], ["event_type"])),
     ("stream_sessions", "SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 3 HOUR THEN 1 ELSE 0 END AS f FROM events)) GROUP BY user_id, s", "events", lambda e: st.session_windows(e, "ts", "3 hours", [F.count("*").alias("n")], ["user_id"])),
     ("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events", "events", lambda e: st.deduplicated(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type")),
-    ("seq_reverse_complement", f"SELECT doc_id, reverse(translate({DNA}, 'ACGT', 'TGCA')) AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.reverse_complement(dna()).alias("value"))),
-    ("seq_gc_content", f"SELECT doc_id, round(len(regexp_extract_all({DNA}, '[GC]')) / nullif(length({DNA}), 0)::DOUBLE, 6) AS value FROM documents", "documents", lambda d: d.select("doc_id", r(Q.gc_content(dna())).alias("value"))),
-    ("seq_transcribe", f"SELECT doc_id, replace({DNA}, 'T', 'U') AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.transcribe(dna()).alias("value"))),
-    ("seq_kmers", f"SELECT doc_id, array_to_string([substr({DNA}, i, 4) FOR i IN range(1, length({DNA}) - 2)], ',') AS value FROM documents", "documents", lambda d: d.select("doc_id", F.array_join(Q.kmers(dna(), 4), ",").alias("value"))),
+    ("seq_reverse_complement", f"SELECT doc_id, reverse(translate({DNA}, 'ACGT', 'TGCA')) AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.reverse_complement(dna_120()).alias("value"))),
+    ("seq_gc_content", f"SELECT doc_id, round(len(regexp_extract_all({DNA}, '[GC]')) / nullif(length({DNA}), 0)::DOUBLE, 6) AS value FROM documents", "documents", lambda d: d.select("doc_id", r(Q.gc_content(dna_120())).alias("value"))),
+    ("seq_transcribe", f"SELECT doc_id, replace({DNA}, 'T', 'U') AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.transcribe(dna_120()).alias("value"))),
+    ("seq_kmers", f"SELECT doc_id, array_to_string([substr({DNA}, i, 4) FOR i IN range(1, length({DNA}) - 2)], ',') AS value FROM documents", "documents", lambda d: d.select("doc_id", F.array_join(Q.kmers(dna_120(), 4), ",").alias("value"))),
+    ("seq_reverse_complement_whole", f"SELECT doc_id, reverse(translate({DNA_WHOLE}, 'ACGT', 'TGCA')) AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.reverse_complement(dna()).alias("value"))),
+    ("seq_gc_content_whole", f"SELECT doc_id, round(len(regexp_extract_all({DNA_WHOLE}, '[GC]')) / nullif(length({DNA_WHOLE}), 0)::DOUBLE, 6) AS value FROM documents", "documents", lambda d: d.select("doc_id", r(Q.gc_content(dna())).alias("value"))),
+    ("seq_transcribe_whole", f"SELECT doc_id, replace({DNA_WHOLE}, 'T', 'U') AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.transcribe(dna()).alias("value"))),
+    ("seq_kmers_whole", f"SELECT doc_id, array_to_string([substr(d, i, 4) FOR i IN range(1, length(d) - 2)], ',') AS value FROM (SELECT doc_id, {DNA_WHOLE} AS d FROM documents)", "documents", lambda d: d.select("doc_id", F.array_join(Q.kmers(dna(), 4), ",").alias("value"))),
     ("seq_translate", None, "documents", lambda d: d.select("doc_id", Q.translate(dna()).alias("value"))),
     ("geo_distance", "SELECT c_custkey, round(sqrt(pow(c_acctbal - 100, 2) + pow(c_nationkey - 7, 2)), 6) AS value FROM customer", "customer", lambda t: t.select("c_custkey", r(G.distance(G.point(c("c_acctbal"), c("c_nationkey")), G.point(F.lit(100), F.lit(7)))).alias("value"))),
     ("geo_area", "SELECT c_custkey, round(abs(c_acctbal) * (c_nationkey + 1), 4) AS value FROM customer", "customer", lambda t: t.select("c_custkey", r(G.area(G.box(G.point(F.lit(0), F.lit(0)), G.point(c("c_acctbal"), c("c_nationkey") + 1))), 4).alias("value"))),

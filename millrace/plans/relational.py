@@ -67,6 +67,7 @@ for name, sql, tables, f in [
     ("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", "customer orders", lambda t, o: t.select(c("c_custkey").alias("k")).subtract(o.select("o_custkey"))),
     ("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "customer supplier", lambda t, s: t.select(c("c_nationkey").alias("k")).exceptAll(s.select("s_nationkey"))),
     ("explode", "SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split(left(text, 60), ' ')) AS w FROM documents)", "documents", lambda d: R.explode(d.select("doc_id", F.split(F.left("text", F.lit(60)), " ").alias("w")), "w")),
+    ("explode_whole", "SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)", "documents", lambda d: R.explode(d.select("doc_id", F.split("text", " ", -1).alias("w")), "w")),
     ("explode_index", "SELECT vec_id, i::INTEGER AS i, v FROM (SELECT vec_id, unnest(range(0, 4)) AS i, unnest(embedding[1:4]) AS v FROM embeddings)", "embeddings", lambda d: R.explode(d.select("vec_id", F.slice("embedding", 1, 4).alias("v")), "v", index="i")),
     ("unpivot", "SELECT l_orderkey, l_linenumber, variable, value FROM (SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem) UNPIVOT (value FOR variable IN (l_tax, l_discount))", "lineitem", lambda l: R.unpivot(l, ["l_orderkey", "l_linenumber"], ["l_tax", "l_discount"])),
     ("pivot", "SELECT l_linestatus, sum(l_quantity) FILTER (l_returnflag = 'A') AS \"A\", sum(l_quantity) FILTER (l_returnflag = 'N') AS \"N\", sum(l_quantity) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY 1", "lineitem", lambda l: R.pivot(l, ["l_linestatus"], "l_returnflag", F.sum("l_quantity"), ["A", "N", "R"])),

@@ -313,7 +313,15 @@ family("str", "documents", "doc_id", [
     ("mask", lambda: T.mask(F.left(t(), F.lit(12)), "*", 2, 2), "CASE WHEN length(left(text, 12)) <= 4 THEN repeat('*', length(left(text, 12))) ELSE left(text, 2) || repeat('*', length(left(text, 12)) - 4) || right(left(text, 12), 2) END"),
     ("slugify", lambda: T.slugify(F.left(t(), F.lit(40))), "trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '-')"),
     ("to_snake_case", lambda: T.snake_case(F.left(t(), F.lit(40))), r"trim(regexp_replace(lower(regexp_replace(left(text, 40), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+', '_', 'g'), '_')"),
-    ("minhash", lambda: F.array_join(T.minhash(F.left(t(), F.lit(300)), 8), ","), None),
+    ("minhash", lambda: F.array_join(T.minhash(t(), 8), ","), None),
+])
+
+# The SQL of these names above reads a prefix of the text; here are the same functions on whole texts.
+family("str", "documents", "doc_id", [
+    ("char_entropy_whole", lambda: r(T.char_entropy(t()), 4), "round(list_aggregate(string_split(text, ''), 'entropy'), 4)"),
+    ("regexp_escape_whole", lambda: T.regexp_escape(t()), r"regexp_replace(text, '([\\.^$|?*+()\[\]{}])', '\\\1', 'g')"),
+    ("slugify_whole", lambda: T.slugify(t()), "trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')"),
+    ("to_snake_case_whole", lambda: T.snake_case(t()), r"trim(regexp_replace(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+', '_', 'g'), '_')"),
 ])
 
 family("str_html", "pages", "page_id", [

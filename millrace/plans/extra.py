@@ -25,6 +25,7 @@ def r(x, n=6):
 RULES = lambda: quality.Rules().not_null("o_custkey").in_range("o_totalprice", 1000, 400000).accepted("o_orderstatus", ["F", "O"]).matches("o_orderpriority", "^[1-3]-")
 GOOD = "o_custkey IS NOT NULL AND o_totalprice BETWEEN 1000 AND 400000 AND o_orderstatus IN ('F', 'O') AND regexp_matches(o_orderpriority, '^[1-3]-')"
 EDGES = "SELECT l_suppkey AS src, l_partkey + 100000 AS dst FROM lineitem"
+ITEMS = "SELECT l_suppkey::BIGINT AS src, l_partkey::BIGINT AS dst FROM lineitem"
 SMALL = "SELECT c_nationkey AS src, (c_custkey % 40)::INTEGER AS dst FROM customer"
 
 
@@ -32,7 +33,13 @@ def _bipartite(l):
     return l.select(c("l_suppkey").alias("src"), (c("l_partkey") + 100000).alias("dst"))
 
 
+def _items(l):
+    """The lineitem edges in one id space, so that there are paths and triangles."""
+    return l.select(c("l_suppkey").cast("long").alias("src"), c("l_partkey").cast("long").alias("dst"))
+
+
 def _small(t):
+    """The folded graph that the SQL of graph_triangles and graph_bfs reads."""
     return t.select(c("c_nationkey").cast("long").alias("src"), (c("c_custkey") % 40).alias("dst"))
 
 
@@ -68,7 +75,9 @@ for name, sql, tables, f in [
     ("graph_degrees", f"SELECT id, count(*) FILTER (d = 'i') AS in_degree, count(*) FILTER (d = 'o') AS out_degree, count(*) AS degree FROM (SELECT src AS id, 'o' AS d FROM ({EDGES}) UNION ALL SELECT dst, 'i' FROM ({EDGES})) GROUP BY 1", "lineitem", lambda l: graph.degrees(_bipartite(l))),
     ("graph_triangles", f"WITH e AS (SELECT DISTINCT least(src, dst)::BIGINT AS a, greatest(src, dst)::BIGINT AS b FROM ({SMALL}) WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1", "customer", lambda t: graph.triangles(_small(t))),
     ("graph_bfs", f"WITH RECURSIVE e AS (SELECT DISTINCT src::BIGINT AS src, dst::BIGINT AS dst FROM ({SMALL})), p(id, d) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, p.d + 1 FROM p JOIN e ON e.src = p.id WHERE p.d < 8) SELECT id, min(d) AS distance FROM p GROUP BY 1", "customer", lambda t: graph.bfs(_small(t).distinct(), 0)),
-    ("graph_pagerank", None, "customer", lambda t: graph.pagerank(_small(t).distinct(), 5)),
+    ("graph_triangles_whole", f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({ITEMS}) WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1", "lineitem", lambda l: graph.triangles(_items(l))),
+    ("graph_bfs_whole", f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({ITEMS})), p(id, d) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, p.d + 1 FROM p JOIN e ON e.src = p.id WHERE p.d < 20) SELECT id, min(d) AS distance FROM p GROUP BY 1", "lineitem", lambda l: graph.bfs(_items(l).distinct(), 1)),
+    ("graph_pagerank", None, "lineitem", lambda l: graph.pagerank(_items(l).distinct(), 5)),
     ("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL", "events", lambda e: st.windowed(e, "ts", "1 hour", [F.count("*").alias("n")], ["event_type"])),
     ("stream_sessions", "SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 3 HOUR THEN 1 ELSE 0 END AS f FROM events)) GROUP BY user_id, s", "events", lambda e: st.session_windows(e, "ts", "3 hours", [F.count("*").alias("n")], ["user_id"])),
     ("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events", "events", lambda e: st.deduplicated(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type")),
@@ -89,6 +98,7 @@ for name, sql, tables, f in [
     ("metric_classification", "SELECT round(avg((y = p)::INTEGER), 6) AS accuracy, round(count(*) FILTER (y = 1 AND p = 1) / count(*) FILTER (p = 1), 6) AS precision, round(count(*) FILTER (y = 1 AND p = 1) / count(*) FILTER (y = 1), 6) AS recall, round(2 * count(*) FILTER (y = 1 AND p = 1) / (count(*) FILTER (y = 1) + count(*) FILTER (p = 1)), 6) AS f1 FROM (SELECT (l_tax > 0.03)::INTEGER AS y, (l_discount > 0.04)::INTEGER AS p FROM lineitem)", "lineitem", lambda l: l.select((c("l_tax") > 0.03).cast("int").alias("y"), (c("l_discount") > 0.04).cast("int").alias("p")).agg(*(r(m(c("y"), c("p"))).alias(m.__name__) for m in (M.accuracy, M.precision, M.recall, M.f1)))),
     ("metric_regression", "SELECT round(avg(abs(l_tax - l_discount)), 6) AS mae, round(avg(pow(l_tax - l_discount, 2)), 6) AS mse, round(sqrt(avg(pow(l_tax - l_discount, 2))), 6) AS rmse FROM lineitem", "lineitem", lambda l: l.agg(*(r(m(c("l_tax"), c("l_discount"))).alias(m.__name__) for m in (M.mae, M.mse, M.rmse)))),
     ("metric_roc_auc", "SELECT round(sum((x.y = 1 AND z.y = 0 AND x.q > z.q)::INTEGER + 0.5 * (x.y = 1 AND z.y = 0 AND x.q = z.q)::INTEGER) / (count(DISTINCT x.k) FILTER (x.y = 1) * count(DISTINCT z.k) FILTER (z.y = 0)), 6) AS auc FROM (SELECT p_partkey AS k, (p_size > 25)::INTEGER AS y, p_retailprice AS q FROM part WHERE p_partkey < 150) x, (SELECT p_partkey AS k, (p_size > 25)::INTEGER AS y, p_retailprice AS q FROM part WHERE p_partkey < 150) z", "part", lambda p: M.roc_auc(p.where("p_partkey < 150").select((c("p_size") > 25).cast("int").alias("y"), c("p_retailprice").alias("q")), "y", "q").withColumn("auc", r(c("auc")))),
+    ("metric_roc_auc_whole", "SELECT round((sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM (SELECT y, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2 AS k FROM (SELECT (p_size > 25)::INTEGER AS y, p_retailprice AS q FROM part))", "part", lambda p: M.roc_auc(p.select((c("p_size") > 25).cast("int").alias("y"), c("p_retailprice").alias("q")), "y", "q").withColumn("auc", r(c("auc")))),
     ("sql_qualify", "SELECT event_id, user_id FROM events WHERE event_type <> 'x' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1", "events", lambda e: dialect_sql(e.sparkSession, "SELECT event_id, user_id FROM {events} WHERE event_type <> 'x' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1", events=e)),
     ("sql_distinct_on", "SELECT DISTINCT ON (user_id) user_id, event_id FROM events ORDER BY user_id, value DESC, event_id", "events", lambda e: dialect_sql(e.sparkSession, "SELECT DISTINCT ON (user_id) user_id, event_id FROM {events} ORDER BY user_id, value DESC, event_id", events=e)),
 ]:

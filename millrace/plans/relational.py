@@ -97,6 +97,7 @@ for name, sql, tables, f in [
     ("left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey", "customer orders", lambda t, o: t.join(o, c("o_custkey") == c("c_custkey"), "left").select("c_custkey", "o_orderkey")),
     ("right", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey", "orders customer", lambda o, t: o.join(t, c("o_custkey") == c("c_custkey"), "right").select("c_custkey", "o_orderkey")),
     ("full", "SELECT k, s_suppkey, c_custkey FROM (SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_nationkey < 15) FULL JOIN (SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey > 10 AND c_custkey < 100) USING (k)", "supplier customer", lambda s, t: R.join(s.where("s_nationkey < 15").select(c("s_nationkey").alias("k"), "s_suppkey"), t.where("c_nationkey > 10 AND c_custkey < 100").select(c("c_nationkey").alias("k"), "c_custkey"), "k", "full")),
+    ("full_whole", "SELECT k, s_suppkey, c_custkey FROM (SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_nationkey < 15) FULL JOIN (SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey > 10) USING (k)", "supplier customer", lambda s, t: R.join(s.where("s_nationkey < 15").select(c("s_nationkey").alias("k"), "s_suppkey"), t.where("c_nationkey > 10").select(c("c_nationkey").alias("k"), "c_custkey"), "k", "full")),
     ("semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer orders", lambda t, o: t.join(o.where("o_totalprice > 400000"), c("o_custkey") == c("c_custkey"), "left_semi").select("c_custkey")),
     ("anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer orders", lambda t, o: t.join(o.where("o_totalprice > 400000"), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey")),
     ("cross", "SELECT r_name, n_name FROM region, nation", "region nation", lambda g, n: g.crossJoin(n).select("r_name", "n_name")),

@@ -1,19 +1,25 @@
 """Soft-membership mixing to target weights.
 
 A multinomial classifier fitted on a labelled table predicts each document's domain posterior.
-Document rates r >= floor then solve, by projected gradient over the distributed table,
+Document rates r >= floor then solve
 
-    min_r  sum_k (sum_d n_d p_dk r_d - T_k)^2 / (2 S_k),   S_k = sum_d n_d p_dk
+    min_r  sum_k ((A r)_k - T_k)^2 / (2 S_k) + RIDGE sum_d n_d (r_d - r0)^2 / 2
 
-where n_d are word tokens and T_k the target token totals. In the token-weighted inner product the
-gradient at a document is sum_k p_dk (A r - T)_k / S_k, so a step needs only the K totals A r, which
-one small aggregate gives; the rates stay in the plan as an expression of the posteriors. All of it
-is DataFrame expressions.
+where n_d are word tokens, (A r)_k = sum_d n_d p_dk r_d, T_k the target token totals, S_k the totals
+at rate 1 and r0 the larger of 1 and the floor. At the optimum r_d = max(floor, r0 - sum_k p_dk y_k)
+with RIDGE S_k y_k = (A r)_k - T_k, so the K numbers y are sought, by Newton steps on the concave
+dual with a line search. A step needs A r and a K x K matrix, which one aggregate gives; the rates
+are one expression of the posteriors that doesn't grow. Steps end when the gradient, the distance of
+the totals to those of the optimum, is within TOLERANCE; totals that stay off their target are
+named in a warning. All of it over the table is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+
+import numpy as np
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +28,7 @@ from .common import staged
 
 #: The most labelled rows the classifier is fitted on, its vocabulary, and the most distinct domains.
 TRAIN_ROWS, VOCABULARY, MOST_DOMAINS = 4_000, 768, 256
-STEPS, TOLERANCE, CHANGE, STEP_SIZE = 12, 1e-6, 1e-4, 1.0
+TOLERANCE, RIDGE = 1e-6, 1e-9
 _CELLS = 1 << 12
 
 
@@ -109,36 +115,80 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
     return raised.select("doc_id", "n_tokens", F.transform("e", lambda x: x / total).alias("posterior"))
 
 
-def solve_rates(members: DataFrame, k: int, weights: list[float], budget: float | None = None, floor: float = 0.0, steps: int = STEPS) -> tuple[DataFrame, list[list[float]]]:
-    """members with column rate, and the domain token totals that each step started from.
+def solve_rates(members: DataFrame, k: int, weights: list[float], budget: float | None = None, floor: float = 0.0) -> tuple[DataFrame, list[list[float]]]:
+    """members with column rate, and the domain token totals at the start and after every step.
 
-    Every step is one aggregate over the (staged) table; k numbers reach the driver. Steps end when
-    every total is on target or none moves by more than CHANGE of itself. budget: the total of the
-    targets, in tokens; by default the least at which no domain must shrink.
+    Every step is one aggregate over the (staged) table; K x K numbers reach the driver. Steps end
+    when the totals are within TOLERANCE of the optimum's, as parts of the domains' totals at rate 1.
+    Where no rates reach the targets, or floating point ends the steps before that, a warning gives
+    the distance. budget: the total of the targets, in tokens; by default the least at which no
+    domain must shrink.
     """
     members = staged(members, "members")
     p = [F.col("posterior")[j] for j in range(k)]
-    have = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[j]), F.lit(0.0)).alias(f"s{j}") for j in range(k))).first()
-    have = [float(x) for x in have]
+    start = max(1.0, floor)
+
+    def state(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, the K x K matrix over the documents above the floor, and the documents' part of the dual, at y."""
+        if not y.any():
+            rate, pull = F.lit(start), F.lit(0.0)
+        else:
+            pull = F.aggregate(F.zip_with("posterior", _list(list(y)), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+            rate = F.greatest(F.lit(float(floor)), F.lit(start) - F.col("pull"))
+        rated = members.select("posterior", "n_tokens", pull.alias("pull")).withColumn("rate", rate)
+        value = F.col("n_tokens") * ((F.col("rate") - start) ** 2 / 2 + F.col("pull") * F.col("rate"))
+        free = F.col("rate") > floor if y.any() else F.lit(True)
+        rows = rated.select("posterior", "n_tokens", "rate", value.alias("value"), free.alias("free"), F.posexplode("posterior").alias("at", "x"))
+        mass = F.col("n_tokens") * F.col("x")
+        sums = [F.sum(mass * F.col("rate")).alias("total"), F.sum("value").alias("value"), *(F.sum(F.when(F.col("free"), mass * p[j]).otherwise(0.0)).alias(f"h{j}") for j in range(k))]
+        total, matrix, worth = np.zeros(k), np.zeros((k, k)), 0.0
+        for r in rows.groupBy("at").agg(*sums).collect():
+            total[r["at"]] = r["total"] or 0.0
+            matrix[r["at"]] = [r[f"h{j}"] or 0.0 for j in range(k)]
+            worth = (r["value"] or 0.0) if r["at"] == 0 else worth
+        return total, matrix, worth
+
+    y = np.zeros(k)
+    now, matrix, worth = state(y)
+    have = now / start
+    held = have > 0
     share = [max(0.0, w) / (sum(max(0.0, x) for x in weights) or 1.0) for w in weights]
     if budget is None:
         budget = max((h / s for h, s in zip(have, share, strict=True) if s > 0), default=0.0)
-    target = [budget * s for s in share]
-    scale = [1.0 / h if h > 0 else 0.0 for h in have]
-    rate, moves, trace, now = F.lit(max(1.0, floor)), [], [], [h * max(1.0, floor) for h in have]
-    for _ in range(steps):
-        trace.append(now)
-        miss = [(a - t) * s for a, t, s in zip(now, target, scale, strict=True)]
-        if max(map(abs, miss), default=0.0) < TOLERANCE:
-            break
-        moves.append(miss)
-        pull = sum((p[j] * F.lit(STEP_SIZE * m) for j, m in enumerate(miss)), F.lit(0.0))
-        rate = F.greatest(F.lit(float(floor)), rate - pull)
-        row = members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[j] * rate), F.lit(0.0)).alias(f"s{j}") for j in range(k))).first()
-        now = [float(x) for x in row]
-        if all(abs(a - b) <= CHANGE * (b or 1.0) for a, b in zip(now, trace[-1], strict=True)):
+    target = np.array([budget * s for s in share])
+    unit = np.where(held, have, 1.0)
+
+    def gradient(y: np.ndarray, now: np.ndarray) -> np.ndarray:
+        return np.where(held, now - target - RIDGE * have * y, 0.0)
+
+    def dual(y: np.ndarray, worth: float) -> float:
+        return worth - float(target[held] @ y[held]) - RIDGE / 2 * float((have * y) @ y)
+
+    trace, g, best = [now.tolist()], gradient(y, now), dual(y, worth)
+    while (np.abs(g) / unit).max(initial=0.0) > TOLERANCE:
+        scale = 1 / np.sqrt(unit)
+        curved = scale[:, None] * (matrix + matrix.T) / 2 * scale + RIDGE * np.eye(k)
+        step = scale * np.linalg.solve(curved, scale * g)
+        slope, part = float(g @ step), 1.0
+        while part > 1e-9:
+            after = y + part * step
+            now, matrix, worth = state(after)
+            found, reached = gradient(after, now), dual(after, worth)
+            # near the optimum the dual is flat to rounding, but its gradient is not
+            if reached >= best + 1e-4 * part * slope or (reached >= best - 1e-12 * abs(best) and (np.abs(found) / unit).max() < (np.abs(g) / unit).max()):
+                break
+            part /= 2
+        else:
+            now, matrix, worth = state(y)
             break
-    return members.withColumn("rate", rate), trace
+        y, g, best = after, found, reached
+        trace.append(now.tolist())
+    off = np.where(held, np.abs(now - target), target) / unit
+    if off.max(initial=0.0) > 10 * TOLERANCE:
+        worst = int(off.argmax())
+        warnings.warn(f"mixing: the tokens of domain number {worst} are {now[worst]:.6g}, its target is {target[worst]:.6g}; the optimum is {(np.abs(g) / unit).max():.3g} of a domain away", stacklevel=2)
+    pulls = F.aggregate(F.zip_with("posterior", _list(list(y)), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    return members.withColumn("rate", F.greatest(F.lit(float(floor)), F.lit(start) - pulls)), trace
 
 
 def tempered(have: list[float], power: float = 0.7) -> list[float]:

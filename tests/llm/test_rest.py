@@ -169,6 +169,33 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.where("false"), none).collect() == []
 
 
+@pytest.mark.parametrize("a", [0.6, 0.7, 0.95])
+def test_mixing_converges_on_uncertain_posteriors(spark, a):
+    rows = [(i, 10, [a, 1 - a] if i % 2 else [1 - a, a]) for i in range(100)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    rated, _ = mixing.solve_rates(members, 2, [0.45, 0.55], budget=1000.0)
+    r = rated.toPandas()
+    got = [sum(n * p[k] * x for n, p, x in zip(r.n_tokens, r.posterior, r.rate, strict=True)) for k in range(2)]
+    assert np.allclose(got, [450, 550], rtol=1e-5) and (r.rate >= 0).all()
+
+
+def test_mixing_at_the_floor_and_out_of_reach(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.8] * 5, size=300)
+    rows = [(i, int(n), q.tolist()) for i, (n, q) in enumerate(zip(rng.integers(0, 90, 300), p, strict=True))]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    n = np.array([x[1] for x in rows])
+    # in the second case no rates reach the targets
+    for weights, floor in (([0.5, 0.2, 0.1, 0.1, 0.1], 0.0), ([0.6, 0.1, 0.1, 0.1, 0.1], 0.5), ([0.4, 0.15, 0.15, 0.15, 0.15], 1.0)):
+        r = mixing.solve_rates(members, 5, weights, 20000.0, floor)[0].toPandas().sort_values("doc_id")
+        miss = (p.T @ (n * r.rate.to_numpy()) - 20000.0 * np.array(weights)) / (p.T @ n)
+        pull = p @ miss  # the gradient at each document: none above the floor, and none that would lift a rate from it
+        assert (r.rate >= floor).all() and pull.min() > -1e-5 and np.abs(pull[r.rate.to_numpy() > floor + 1e-6]).max() < 1e-5
+    with pytest.warns(UserWarning, match="mixing"):  # below the floor
+        r = mixing.solve_rates(members, 5, weights, 0.5 * n.sum(), 1.0)[0].toPandas()
+    assert np.allclose(r.rate, 1.0)
+
+
 # Embeddings.
 
 

@@ -4,22 +4,24 @@ The base rules always stand. Further generators propose spans that may overlap;
 when the trees' probability reaches its kind's threshold, its own format check holds, and no base
 span or likelier span overlaps it. The trees are grown on aggregated counts of binned features,
 with the format checks of the rules as labels, and are applied as a sum of CASE expressions.
-Everything runs as DataFrame expressions; only the bounded table of counts reaches the driver.
+Everything runs as DataFrame expressions: every feature cell stays in a staged table of counts, and
+only sums per feature and bin (at most 72 bins) and a threshold per kind reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
 from .spans import Kind, candidates, joined
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "local_phone", "masked_email", "ssn")
-#: The most distinct feature cells that the trees are grown on (those with most candidates), and the precision that thresholds keep on the held-out fold.
-CELLS, PRECISION, TREES, DEPTH, SHRINK = 4096, 0.97, 24, 2, 0.3
+#: The precision that thresholds keep on the held-out fold, and the trees' number, depth and rate.
+PRECISION, TREES, DEPTH, SHRINK = 0.97, 24, 2, 0.3
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Contract patterns, written so that a run is entered once and never backtracked into.
@@ -113,49 +115,72 @@ def featured(found: DataFrame) -> DataFrame:
     )
 
 
-def grow(cells: list[tuple[tuple[int, ...], int, int]]) -> tuple[float, list]:
-    """(bias, trees) of boosted trees with logistic loss over (features, positives, negatives); a tree is a leaf value or (feature, most, low, high)."""
-    p, n = sum(c[1] for c in cells), sum(c[2] for c in cells)
+def grow(cells: DataFrame) -> tuple[float, list]:
+    """(bias, trees) of boosted trees with logistic loss over cells (f_<feature>..., p positives, n negatives); a tree is a leaf value or (feature, most, low, high).
+
+    A level of a tree is one aggregate: sums of gradients by node, feature and bin, over every cell.
+    """
+    p, n = (float(x or 0) for x in cells.agg(F.sum("p"), F.sum("n")).first())
     bias = math.log((p + 1) / (n + 1))
-    margin = [bias] * len(cells)
-
-    def fit(rows: list[int], depth: int):
-        grads = {i: ((lambda q: (cells[i][1] * (1 - q) - cells[i][2] * q, (cells[i][1] + cells[i][2]) * q * (1 - q)))(1 / (1 + math.exp(-margin[i])))) for i in rows}
-        g, h = sum(x for x, _ in grads.values()), sum(x for _, x in grads.values())
-        best = (1e-9, None, None)
-        if depth:
-            for f in range(len(FEATURES)):
-                by: dict[int, list[float]] = {}
-                for i in rows:
-                    s = by.setdefault(cells[i][0][f], [0.0, 0.0])
-                    s[0] += grads[i][0]
-                    s[1] += grads[i][1]
-                gl = hl = 0.0
-                for v in sorted(by)[:-1]:
-                    gl, hl = gl + by[v][0], hl + by[v][1]
-                    gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                    if gain > best[0] + 1e-12:
-                        best = (gain, f, v)
-        if best[1] is None:
-            return SHRINK * g / (h + 1)
-        _, f, v = best
-        return (f, v, fit([i for i in rows if cells[i][0][f] <= v], depth - 1), fit([i for i in rows if cells[i][0][f] > v], depth - 1))
-
-    trees = []
-    for _ in range(TREES if cells and p and n else 0):
-        t = fit(list(range(len(cells))), DEPTH)
-        trees.append(t)
-        for i, c in enumerate(cells):
-            margin[i] += leaf(t, c[0])
+    binned = F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(f"f_{f}").cast("int").alias("v")) for k, f in enumerate(FEATURES)))).alias("bin")
+
+    def sums(trees: list, paths: list[list[tuple[int, int, bool]]]) -> list[dict[int, dict[int, tuple[float, float]]]]:
+        """For each node, given by its path of (feature, most, is low): by feature and bin the sums of the gradient and of its derivative."""
+        node = F.lit(None).cast("int")
+        for k, path in enumerate(paths):
+            inside = F.lit(True)
+            for f, most, low in path:
+                inside = inside & ((F.col(f"f_{FEATURES[f]}") <= most) if low else (F.col(f"f_{FEATURES[f]}") > most))
+            node = F.when(inside, F.lit(k)).otherwise(node)
+        scored = cells.select("*", probability(bias, trees).alias("q"), node.alias("node"))
+        graded = scored.select("node", (F.col("p") * (1 - F.col("q")) - F.col("n") * F.col("q")).alias("g"), ((F.col("p") + F.col("n")) * F.col("q") * (1 - F.col("q"))).alias("h"), binned)
+        out = [{f: {} for f in range(len(FEATURES))} for _ in paths]
+        for r in graded.where("node is not null").groupBy("node", "bin.f", "bin.v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            out[r.node][r.f][r.v] = (r.g, r.h)
+        return out
+
+    def split(by: dict[int, dict[int, tuple[float, float]]]) -> tuple[int, int] | None:
+        """The feature and bin of most gain; None where nothing is gained."""
+        g, h = (sum(by[0][v][k] for v in sorted(by[0])) for k in (0, 1))
+        most, best = 1e-9, None
+        for f in range(len(FEATURES)):
+            gl = hl = 0.0
+            for v in sorted(by[f])[:-1]:
+                gl, hl = gl + by[f][v][0], hl + by[f][v][1]
+                gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+                if gain > most * (1 + 1e-9) + 1e-12:  # sums come in any order
+                    most, best = gain, (f, v)
+        return best
+
+    def value(parts) -> float:
+        g, h = (sum(x[k] for x in parts) for k in (0, 1))
+        return SHRINK * g / (h + 1)
+
+    def level(trees: list, paths: list, depth: int) -> list:
+        """The trees below the nodes at the paths, which have cells."""
+        found, below, shapes = sums(trees, paths), [], []
+        for path, by in zip(paths, found, strict=True):
+            cut = split(by)
+            shapes.append(cut)
+            if cut and depth > 1:
+                below += [[*path, (*cut, True)], [*path, (*cut, False)]]
+        under = iter(level(trees, below, depth - 1) if below else ())
+        out = []
+        for by, cut in zip(found, shapes, strict=True):
+            if not cut:
+                out.append(value(by[0].values()))
+                continue
+            f, most = cut
+            sides = [next(under), next(under)] if depth > 1 else [value([x for v, x in sorted(by[f].items()) if (v <= most) == low]) for low in (True, False)]
+            out.append((f, most, *sides))
+        return out
+
+    trees: list = []
+    for _ in range(TREES if p and n else 0):
+        trees += level(trees, [[]], DEPTH)
     return bias, trees
 
 
-def leaf(tree, x: tuple[int, ...]) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
-    return tree
-
-
 def probability(bias: float, trees: list) -> Column:
     def of(t) -> Column:
         return F.when(F.col(f"f_{FEATURES[t[0]]}") <= t[1], of(t[2])).otherwise(of(t[3])) if isinstance(t, tuple) else F.lit(float(t))
@@ -163,18 +188,13 @@ def probability(bias: float, trees: list) -> Column:
     return 1 / (1 + F.exp(-sum((of(t) for t in trees), F.lit(float(bias)))))
 
 
-def thresholds(bias: float, trees: list, held: list[tuple[tuple[int, ...], int, int]]) -> dict[int, float]:
-    """By kind the least probability from which on the held-out fold is PRECISION right; 1.01 (nothing) where there is none."""
-    out = {}
-    for place in range(len(BASE) + len(EXTRA)):
-        scored = sorted(((1 / (1 + math.exp(-bias - sum(leaf(t, x) for t in trees))), p, n) for x, p, n in held if x[0] == place), reverse=True)
-        good = all_ = 0
-        out[place] = 1.01
-        for k, (q, p, n) in enumerate(scored):
-            good, all_ = good + p, all_ + p + n
-            if good >= PRECISION * all_ and (k + 1 == len(scored) or scored[k + 1][0] < q):
-                out[place] = q
-    return out
+def thresholds(bias: float, trees: list, held: DataFrame) -> dict[int, float]:
+    """By kind the least probability from which on the held-out fold, over all its cells, is PRECISION right; 1.01 (nothing) where there is none."""
+    scored = held.select(F.col("f_kind").alias("place"), probability(bias, trees).alias("q"), "p", "n").groupBy("place", "q").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    above = Window.partitionBy("place").orderBy(F.desc("q"))
+    right = scored.select("place", "q", F.sum("p").over(above).alias("good"), F.sum(F.col("p") + F.col("n")).over(above).alias("all"))  # a row for each kind and sum of leaves
+    found = right.where(F.col("good") >= PRECISION * F.col("all")).groupBy("place").agg(F.min("q").alias("q")).collect()
+    return {place: 1.01 for place in range(len(BASE) + len(EXTRA))} | {r.place: r.q for r in found}
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -188,10 +208,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     tested = featured(found).withColumn("valid", is_valid())
     features = [f"f_{f}" for f in FEATURES]
     fold = (F.pmod(F.xxhash64("rid"), F.lit(4)) == 0).cast("int").alias("held")
-    cells = tested.groupBy(*features, fold).agg(F.sum(F.col("valid").cast("long")).alias("p"), F.sum((~F.col("valid")).cast("long")).alias("n")).orderBy(F.desc(F.col("p") + F.col("n")), *features, "held").limit(CELLS).collect()
-    by_fold = {h: [(tuple(r[f] for f in features), r.p, r.n) for r in cells if r.held == h] for h in (0, 1)}
-    bias, trees = grow(by_fold[0])
-    cut = thresholds(bias, trees, by_fold[1])
+    counts = F.sum(F.col("valid").cast("long")).alias("p"), F.sum((~F.col("valid")).cast("long")).alias("n")
+    cells = staged(tested.groupBy(*features, fold).agg(*counts), "cells")
+    bias, trees = grow(cells.where("held = 0"))
+    cut = thresholds(bias, trees, cells.where("held = 1"))
     least = F.lit(1.01)
     for place, q in cut.items():
         least = F.when(F.col("place") == place, F.lit(q)).otherwise(least)

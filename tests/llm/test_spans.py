@@ -1,10 +1,13 @@
 """Personal data and secrets against plain regular expressions, on hard texts."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
 
+from millrace.llm import pii
 from millrace.llm.pii import find_personal_data
 from millrace.llm.secrets import find_secrets
 
@@ -64,3 +67,63 @@ def test_masked_personal_data_needs_evidence(spark):
     """Trees with nothing to learn from select nothing beyond the base."""
     docs = spark.createDataFrame([(1, "bob (at) foo (dot) com")], "doc_id long, text string")
     assert find_personal_data(docs).first().n_more in (0, 1)
+
+
+def leaf(tree, x):
+    while isinstance(tree, tuple):
+        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def brute_trees(cells):
+    """Boosting over (features, positives, negatives) in plain loops."""
+    p, n = sum(c[1] for c in cells), sum(c[2] for c in cells)
+    margin, trees = [math.log((p + 1) / (n + 1))] * len(cells), []
+
+    def fit(rows, depth):
+        q = {i: 1 / (1 + math.exp(-margin[i])) for i in rows}
+        g, h = sum(cells[i][1] * (1 - q[i]) - cells[i][2] * q[i] for i in rows), sum((cells[i][1] + cells[i][2]) * q[i] * (1 - q[i]) for i in rows)
+        best = (1e-9, None, None)
+        for f in range(7 if depth else 0):
+            for v in sorted({cells[i][0][f] for i in rows})[:-1]:
+                low = [i for i in rows if cells[i][0][f] <= v]
+                gl, hl = sum(cells[i][1] * (1 - q[i]) - cells[i][2] * q[i] for i in low), sum((cells[i][1] + cells[i][2]) * q[i] * (1 - q[i]) for i in low)
+                gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+                if gain > best[0] * (1 + 1e-9) + 1e-12:
+                    best = (gain, f, v)
+        if best[1] is None:
+            return pii.SHRINK * g / (h + 1)
+        _, f, v = best
+        return (f, v, fit([i for i in rows if cells[i][0][f] <= v], depth - 1), fit([i for i in rows if cells[i][0][f] > v], depth - 1))
+
+    for _ in range(pii.TREES):
+        trees.append(fit(list(range(len(cells))), pii.DEPTH))
+        margin = [m + leaf(trees[-1], c[0]) for m, c in zip(margin, cells, strict=True)]
+    return trees
+
+
+def test_trees_equal_brute_force(spark):
+    rng = random.Random(2)
+    cells = [(tuple(rng.randrange(5) for _ in range(7)), rng.randrange(9), rng.randrange(9)) for _ in range(150)]
+    names = [f"f_{f}" for f in pii.FEATURES]
+    _, trees = pii.grow(spark.createDataFrame([(*x, p, n) for x, p, n in cells], ", ".join(f"{x} int" for x in names) + ", p long, n long"))
+    flat = lambda t: (t[0], t[1], *flat(t[2]), *flat(t[3])) if isinstance(t, tuple) else (t,)
+    assert [flat(t) for t in trees] == [pytest.approx(flat(t), abs=1e-9) for t in brute_trees(cells)]
+
+
+def test_rare_kind_beside_many_frequent_cells(spark):
+    """More than 4,096 cells, all more frequent than those of the few IBANs, which still get a threshold."""
+    rng = random.Random(1)
+
+    def number(d, seps):
+        at = set(rng.sample(range(1, d), seps))
+        return "".join(" " * (i in at) + str(rng.randrange(10)) for i in range(d))
+
+    cues = ("", "mail", "tel", "visa", "host", "ssn", "invoice")
+    types = [(d, s, b, a, c) for d in range(4, 25) for s in range(min(d - 1, 9)) for b in "x #" for a in "x #" for c in cues]
+    noise = [f"{'z' * 30} {c} {b}{number(d, s)}{a} " for d, s, b, a, c in rng.sample(types, 3500) for _ in range(12)]
+    rng.shuffle(noise)
+    texts = ["".join(noise[i : i + 20]) for i in range(0, len(noise), 20)] + ["see DE89 3704 0044 0532 0130 00 there"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in find_personal_data(docs).where("contains(spans, 'iban')").collect()}
+    assert sorted(got) == list(range(len(texts) - 8, len(texts)))

@@ -215,6 +215,11 @@ def _verify(docs: DataFrame, pairs: DataFrame, every: bool = False) -> DataFrame
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "later").mapInArrow(run, "a long, b long, common long, total long")
 
 
+def _band():
+    """The band of width 0.2 that a pair's distance (total - common) / total is in; in integers, so that distances on an edge are in the upper band."""
+    return F.expr("cast(5 * (total - common) div total as int)")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
@@ -245,9 +250,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     open_ = member.join(mixed.drop("size"), "region").where("id <> pivot").groupBy("pivot", "id").agg(F.first("cell").alias("cell"), shared.alias("shared"))
     open_ = staged(open_.join(sizes, "id").join(held, "id").join(largest, "pivot"), "open")
     far = staged(_verify(docs, open_.where(F.col("size") >= _LARGE).select(F.col("pivot").alias("a"), F.col("id").alias("b")), every=True), "far")
-    far = far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("common") / F.col("total")).alias("far"))
+    far = far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("common") / F.col("total")).alias("far"), _band().alias("band"))
     # The window: a pair within 0.2 has distances to the pivot within 0.2, so it meets in a band of that width or beside it.
-    open_ = open_.join(far, ["id", "pivot"], "left").withColumn("band", F.coalesce(F.floor(F.col("far") / _RADIUS).cast("int"), F.lit(0)))
+    open_ = open_.join(far, ["id", "pivot"], "left").withColumn("band", F.coalesce("band", F.lit(0)))
     x, y = (open_.select("pivot", "band", (F.col("held") - F.size("shared")).alias(f"rest_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cell", "n", "far", "shared"))) for s in "xy")
     y = y.withColumn("band", F.explode(F.when(F.col("far_y").isNull(), F.array("band")).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
     window = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= _RADIUS + 1e-9, F.lit(True))

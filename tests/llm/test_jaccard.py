@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.llm.common import connected_components
-from millrace.llm.jaccard import jaccard_components, keep_one_per_group
+from millrace.llm.jaccard import _band, jaccard_components, keep_one_per_group
 from millrace.llm.shingles import shingle_sets
 
 
@@ -85,3 +85,14 @@ def test_components(spark):
 @given(st.lists(st.text(alphabet="ab \n\tAé", max_size=30), max_size=6))
 def test_shingle_counts(texts):
     assert [len(s) for s in shingle_sets(texts)] == [len(shingles(t)) for t in texts]
+
+
+def test_bands_of_exact_ties_meet(spark):
+    """Distances that differ by exactly 0.2 are in the same band or in neighbouring ones."""
+    rows = [(t - d, t) for t in range(1, 121) for d in range(t + 1)]
+    far = {(r.common, r.total): r.band for r in spark.createDataFrame(rows, "common long, total long").select("common", "total", _band().alias("band")).collect()}
+    for t in (5, 100, 115):
+        for d in range(t - t // 5 + 1):
+            assert far[t - d - t // 5, t] - far[t - d, t] == 1
+    assert [far[100 - d, 100] for d in (20, 40, 60, 80)] == [1, 2, 3, 4]
+    assert all(r == 5 * (t - c) // t for (c, t), r in far.items())

@@ -48,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # texts that hold one aren't cut
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # the library's own word cache: only pieces that ours lacks get there
         self.base = self.tokenizer.get_vocab_size()
@@ -78,7 +78,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if "\0" in text:  # the mark that cuts are made with
+        if "\0" in text or any(t in text for t in self.added):  # \0: the mark that cuts are made with
             return self._whole(text)
         quick = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
         found = list(map(self.cache.get, quick))  # every cached piece that a cut made starts and ends safely

@@ -120,6 +120,16 @@ def test_encoder_equals_library(text):
     assert np.frombuffer(e.encode(text), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    e, plain = tokens.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    assert plain.get_added_tokens_decoder()
+    for t in plain.get_added_tokens_decoder().values():
+        for text in (f"x {t.content} y", t.content, f"a b{t.content}{t.content}\n c", f"x {t.content[:-1]} y"):
+            assert np.frombuffer(e.encode(text), e.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=60), min_size=1, max_size=8))
 def test_grammar_round_trip(docs):

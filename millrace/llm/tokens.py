@@ -3,8 +3,8 @@
 A dataset is a folder of Parquet files whose rows are blocks, written with Spark's task commit.
 A block's payload (little-endian) is the whole grammar of some two million ids:
 
-    magic 4s "RPG1" | id width u8 (2 or 4) | pad 3 | base u32 | rules u32 | docs u32 | symbols u64
-    doc ids i64[docs] (2^63 - 1 for null) | end symbol offset of each document u64[docs]
+    magic 4s "RPG2" | id width u8 (2 or 4) | pad 3 | base u32 | rounds u32 | rules u32 | docs u32 | symbols u64
+    doc ids i64[docs] | is null u8[docs] | end symbol offset of each document u64[docs] | rules after each round u32[rounds]
     rules (left, right) [rules, 2] | expansion length of each rule u32[rules] | sequence [symbols]
 
 Symbols below base are token ids, symbol base + r is rule r; rules never cross documents, so any
@@ -13,10 +13,10 @@ document decodes on its own from its offsets and the expansion lengths.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +27,39 @@ from pyspark.sql import functions as F
 from .common import stage_path
 
 END_ID = 2
-BLOCK_TOKENS, ROUNDS, RULES_A_ROUND, LEAST_USES = 1 << 21, 5, 768, 8
+#: Ids of a block, and the least uses of a pair that counts as frequent. Where the vocabulary leaves room in two bytes, the least is raised so far that rules fit there: each takes so many symbols away.
+BLOCK_TOKENS, LEAST_USES = 1 << 21, 32
+#: A round replaces the pairs that have at least this part of the most frequent one's uses.
+STEP = 1 / 24
 _SPREAD = 18
-_HEAD = struct.Struct("<4sB3xIIIQ")
-_NULL_ID = (1 << 63) - 1
-_MOST_CACHED = 400_000
+_HEAD = struct.Struct("<4sB3xIIIIQ")
 _ENCODERS: dict[str, "Encoder"] = {}
 
+_CHUNK = 1 << 20
+#: The table of pieces: sets of two ways, bytes of a piece that fits, and pool entries beyond which it starts anew.
+_SET_BITS, _MOST_BYTES, _POOL = 19, 23, 1 << 22
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_MAY_OPEN_WHITE = _WHITE.copy()  # first bytes of the characters of white space beyond ASCII
+_MAY_OPEN_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (size of them) for each, in a row."""
+    stop = np.cumsum(size)
+    return np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+
 
 class Encoder:
-    """The tokenizers library behind a cache of space-led pieces.
+    """The tokenizers library behind a bounded table of pieces, looked up for many texts at once.
 
-    The pre-tokenizer never joins a character with a following single space or newline, so a text
-    cut before those encodes to its pieces' ids in a row; cuts are made only between characters
-    that aren't white space, and any other text is joined back before it is encoded.
+    The byte-level pre-tokenizer never joins a character with a following single space or newline,
+    so a text cut before those encodes to its pieces' ids in a row; cuts are made only between
+    characters that surely aren't white space. The table holds pieces byte for byte, so a hit is
+    never a collision. Texts that hold an added token, and all texts under another pre-tokenizer or a
+    normalizer, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -48,193 +67,332 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # texts that hold one aren't cut
         if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # the library's own word cache: only pieces that ours lacks get there
-        self.base = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if self.base + ROUNDS * RULES_A_ROUND <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > _MOST_CACHED:
-            self.cache.clear()
-        kind = "H" if self.dtype.itemsize == 2 else "I"  # little-endian as the file is, on the machines that Spark's Arrow supports
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.cache[p] = array(kind, e.ids).tobytes()
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut at safe places; each piece holds its leading space or newline."""
-        raw = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-        out = [raw[0]]
-        for p in raw[1:]:
-            if out[-1][-1:].isspace() or not out[-1] or len(p) < 2 or p[1].isspace():
-                out[-1] += p
-            else:
-                out.append(p)
-        return out
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if "\0" in text or any(t in text for t in self.added):  # \0: the mark that cuts are made with
-            return self._whole(text)
-        quick = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-        found = list(map(self.cache.get, quick))  # every cached piece that a cut made starts and ends safely
-        if None in found:
-            new = {p for p, f in zip(quick, found, strict=True) if f is None}
-            if not all(map(self._safe, new)):
-                return self._in_pieces(text)
-            self._learn(list(new))
-            found = list(map(self.cache.get, quick))
-            if None in found:  # the cache was emptied to make room
-                return self._whole(text)
-        return b"".join(found)
-
-    def _in_pieces(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        self._learn(list({p for p in pieces if p not in self.cache and self._safe(p)}))
-        return b"".join(self.cache[p] if p in self.cache else self._whole(p) for p in self.pieces(text))
-
-    @staticmethod
-    def _safe(piece: str) -> bool:
-        """May the piece be kept: does it encode alike wherever a cut makes it?"""
-        return piece != "" and not piece[-1].isspace() and not piece[1:2].isspace()
+            self.tokenizer.model._resize_cache(0)  # the library's own word cache: only pieces that the table lacks get there
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.base = max(vocabulary.values()) + 1
+        self.bytes_of = np.ones(self.base, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a byte-level token has a character for each byte
+        self.dtype = np.dtype("<u2" if self.base < 1 << 16 else "<u4")
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table = np.zeros((1 << _SET_BITS, 2, 4), np.uint64)  # 23 bytes and their number, then pool offset and length
+        self.pool, self.fill = np.empty(1 << 16, self.dtype), 0
+        self.long: dict[bytes, int] = {}
+
+    def _kept(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Append ids to the pool: the place (offset << 32 | length) of each run of so many."""
+        if self.fill + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.fill], np.empty(max(len(self.pool), len(flat)), self.dtype)))
+        self.pool[self.fill : self.fill + len(flat)] = flat
+        place = (self.fill + np.cumsum(size) - size) << 32 | size
+        self.fill += len(flat)
+        return place.astype(np.uint64)
+
+    def _library(self, pieces: list[bytes], joins: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each piece). Pieces that may stand in a row in a text are encoded as one, and its ids dealt out by their bytes."""
+        if joins and len(pieces) > 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode("utf-8")], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(self.bytes_of[ids])
+            stop = np.cumsum([len(p) for p in pieces])
+            at = np.searchsorted(ends, stop)
+            if at[-1] < len(ends) and (ends[at] == stop).all():
+                return ids.astype(self.dtype), np.diff(at + 1, prepend=0)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+        return np.fromiter((i for x in ids for i in x), self.dtype), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """The places of pieces new to the table; inner: a cut before and after."""
+        place = np.empty(len(start), np.uint64)
+        for part, joins in ((np.flatnonzero(inner), True), (np.flatnonzero(~inner), False)):
+            if len(part):
+                place[part] = self._kept(*self._library([raw[s:e].tobytes() for s, e in zip(start[part].tolist(), end[part].tolist(), strict=True)], joins))
+        return place
+
+    def _places(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """The pool place of every piece, learnt where the table lacks it; inner as in _learn."""
+        size = end - start
+        place = np.zeros(len(start), np.uint64)
+        far = size > _MOST_BYTES
+        if far.any():
+            which = np.flatnonzero(far)
+            texts = [raw[s:e].tobytes() for s, e in zip(start[which].tolist(), end[which].tolist(), strict=True)]
+            new = list({t: i for i, t in enumerate(texts) if t not in self.long}.items())
+            if new:
+                at = which[[i for _, i in new]]
+                self.long |= zip([t for t, _ in new], self._learn(raw, start[at], end[at], inner[at]).tolist(), strict=True)
+            place[which] = [self.long[t] for t in texts]
+            which = np.flatnonzero(~far)
+            start, end, size, inner = start[which], end[which], size[which], inner[which]
+        else:
+            which = slice(None)
+        view = np.ndarray(len(raw) - 7, "<u8", raw.data, strides=(1,))
+        w = [view[start + 8 * j] & _MASK[np.clip(size - 8 * j, 0, 8)] for j in range(3)]
+        w[2] |= size.astype(np.uint64) << np.uint64(56)
+        h = w[0] * _ODD[0] + w[1] * _ODD[1] + w[2] * _ODD[2]
+        h = (h ^ h >> np.uint64(29)) * _ODD[3]
+        at = (h >> np.uint64(64 - _SET_BITS)).astype(np.int64)
+        row = self.table.take(at, 0)
+        hit = [(row[:, k, 0] == w[0]) & (row[:, k, 1] == w[1]) & (row[:, k, 2] == w[2]) for k in range(2)]
+        own = np.where(hit[0], row[:, 0, 3], row[:, 1, 3])
+        miss = np.flatnonzero(~(hit[0] | hit[1]))
+        if len(miss):
+            order = miss[np.lexsort([x[miss] for x in w])]
+            fresh = np.r_[True, np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in w])]
+            first = order[fresh]
+            new = self._learn(raw, start[first], end[first], inner[first])
+            own[order] = new[np.cumsum(fresh) - 1]
+            spot = at[first]
+            full = self.table[spot, :, 2] > 0
+            way = np.where(~full[:, 0], 0, np.where(~full[:, 1], 1, (h[first] >> np.uint64(8) & np.uint64(1)).astype(np.int64)))
+            self.table[spot, way] = np.stack((w[0][first], w[1][first], w[2][first], new), 1)
+        place[which] = own
+        return place
+
+    def _whole(self, raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._library([raw[s:e].tobytes() for s, e in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)])
+
+    def encode(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids of each) of the texts data[begin[i]:begin[i + 1]] (UTF-8 bytes)."""
+        lo, n = int(begin[0]), int(begin[-1] - begin[0])
+        raw = np.zeros(n + 36, np.uint8)
+        raw[4 : n + 4] = data[lo : lo + n]
+        begin = begin - lo + 4
+        blob = raw.tobytes()
+        if not self.cuts:
+            return self._whole(raw, begin)
+        special = np.zeros(len(begin) - 1, bool)
+        for t in self.added:
+            at = blob.find(t)
+            while at >= 0:
+                special[np.searchsorted(begin, at, side="right") - 1] = True
+                at = blob.find(t, at + 1)
+        if special.any():  # an added token is found before anything is cut
+            parts = [self._whole(raw, begin[i : i + 2]) if s else self.encode(raw, begin[i : i + 2]) for i, s in enumerate(special.tolist())]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        if self.fill > _POOL or len(self.long) > 1 << 15:
+            self._clear()
+        gap = np.flatnonzero((raw == 32) | (raw == 10))
+        gap = gap[~_WHITE[raw[gap - 1]] & ~_MAY_OPEN_WHITE[raw[gap + 1]]]
+        lead = raw[gap - 3]
+        gap = gap[~((raw[gap - 1] >= 0x80) & ((raw[gap - 2] == 0xC2) | (lead >= 0xE1) & (lead <= 0xE3)))]
+        is_start, is_cut = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+        is_cut[gap] = True
+        is_cut[begin] = False  # what a text begins or ends with isn't joined to another's
+        is_start[gap] = True
+        is_start[begin[:-1][begin[1:] > begin[:-1]]] = True
+        start = np.flatnonzero(is_start)
+        if not len(start):
+            return np.empty(0, self.dtype), np.zeros(len(begin) - 1, np.int64)
+        end = np.append(start[1:], n + 4)
+        place = self._places(raw, start, end, is_cut[start] & is_cut[end])
+        size = (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        ids = self.pool[_ranges((place >> np.uint64(32)).astype(np.int64), size)]
+        total = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, begin)]
+        return ids, np.diff(total)
 
 
 def encoder(path: str) -> Encoder:
-    """This process's encoder of a vocabulary file; its cache outlives a task."""
+    """This process's encoder of a vocabulary file; its table outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, sequence, last): each round replaces the most frequent pairs at once, a more frequent pair first where two overlap.
+def encoded(texts: pa.Array, enc: Encoder):
+    """(first, ids with END_ID after every text, ids of each) of a column of strings, in chunks of texts; null: empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    begin = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + _CHUNK, side="right")) - 1)
+        ids, size = enc.encode(data, begin[lo : hi + 1])
+        yield lo, np.insert(ids, np.cumsum(size), END_ID), size + 1
+        lo = hi
+
+
+def least_uses(n: int, base: int) -> int:
+    """The uses from which on a pair of a block of n ids is frequent."""
+    room = (1 << 16) - base
+    return max(LEAST_USES, -(-n // room)) if room > 256 else LEAST_USES
 
-    last marks the final symbol of each document; no pair crosses it. Pairs are counted in hashed
-    cells, and rules_a_round is less than 65535.
+
+def re_pair(symbols: np.ndarray, last: np.ndarray, base: int, least: int | None = None) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """(rules, rules after each round, sequence, last): rounds go on until no pair has `least` uses that don't overlap.
+
+    last marks the final symbol of each document; no pair crosses it. Pairs are counted exactly: a
+    pair's uses only shrink unless it holds the newest symbols, so after the first round only places
+    of frequent pairs and of new symbols are looked at. A round replaces the most frequent pairs at
+    once, the more frequent first where two overlap; of runs of one pair every second is taken. Pairs
+    that share a hash cell with a more frequent one wait for the next round.
     """
-    seq, rules = symbols.astype(np.uint32), []
-    none = np.uint16((1 << 16) - 1)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        wide = base + len(rules) + rules_a_round > 1 << 16
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:] if wide else seq[:-1] << np.uint32(16) | seq[1:]
-        spread = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SPREAD)) if wide else (key * np.uint32(0x9E3779B1) >> np.uint32(32 - _SPREAD))
-        spread[last[:-1]] = 0
-        counts = np.bincount(spread, minlength=1 << _SPREAD)
-        counts[0] = 0
-        cells = np.argpartition(counts, -rules_a_round)[-rules_a_round:]
-        cells = cells[counts[cells] >= least]
-        cells = cells[np.argsort(-counts[cells], kind="stable")]
-        if not len(cells):
-            break
-        rank_of = np.full(1 << _SPREAD, none, np.uint16)
-        rank_of[cells] = np.arange(len(cells), dtype=np.uint16)
-        rank = np.full(len(seq) + 1, none, np.uint16)
-        here = rank[1:-1]
-        here[:] = rank_of[spread]
-        at = np.flatnonzero(here != none)
-        # A cell stands for the pair last seen in it; other pairs that fall there wait for a later round.
-        pair_of = np.zeros(len(cells), key.dtype)
-        pair_of[here[at]] = key[at]
-        here[at[pair_of[here[at]] != key[at]]] = none
-        take = at[(here[at] < rank[at]) & (here[at] <= rank[at + 2])]
-        if not len(take):
+    n = len(symbols)
+    least = least or least_uses(n, base)
+    wide = base + n // least >= 1 << 16
+    kind, half, low = (np.uint64, np.uint64(32), np.uint64(0xFFFFFFFF)) if wide else (np.uint32, np.uint32(16), np.uint32(0xFFFF))
+    cell = lambda k: (k * _ODD[0] >> np.uint64(64 - _SPREAD)) if wide else (k * np.uint32(0x9E3779B1) >> np.uint32(32 - _SPREAD))
+    seq = np.append(symbols.astype(kind), kind(0))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # the neighbours of a place, n and -1 where none is
+    stops = np.flatnonzero(last)
+    after[stops] = n
+    before[stops + 1] = -1
+    gone = np.zeros(n + 1, bool)
+    at = np.flatnonzero(~last)  # places of pairs that may be frequent
+    rules, n_rules, rounds, rare = [], 0, [], np.empty(0, kind)
+    while len(at) >= least:
+        key = seq[at] << half | seq[after[at]]
+        ordered = np.sort(key)
+        edge = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
+        uses = np.diff(edge)
+        often = np.flatnonzero(uses >= least)
+        pairs, uses = ordered[edge[often]], uses[often]
+        if len(rare):
+            known = np.isin(pairs, rare)
+            pairs, uses = pairs[~known], uses[~known]
+        if not len(pairs):
             break
-        uses = np.bincount(here[take], minlength=len(cells))
-        take = take[uses[here[take]] >= least]
-        new_of = np.cumsum(uses >= least) - 1
-        chosen = pair_of[uses >= least]
-        split = np.stack((chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)) if wide else (chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)), 1)
-        seq[take] = (base + len(rules) + new_of[here[take]]).astype(np.uint32)
-        rules.extend(split.astype(np.uint32).tolist())
-        last = last.copy()
-        last[take] = last[take + 1]
-        keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
-        seq, last = seq[keep], last[keep]
-    return np.array(rules, np.uint32).reshape(-1, 2), seq, last
-
-
-def _lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out = np.ones(len(rules), np.uint32)
-    for r, (a, b) in enumerate(rules.tolist()):
-        out[r] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
-
-
-def pack(doc_ids: list[int | None], ids: list[bytes], base: int, dtype: np.dtype) -> bytes:
-    symbols = np.frombuffer(b"".join(ids), dtype)
-    ends = np.cumsum([len(x) // dtype.itemsize for x in ids])
+        may = np.zeros(1 << _SPREAD, bool)
+        may[cell(pairs)] = True
+        spot = cell(key)
+        stay = may[spot]
+        at, key, spot = at[stay], key[stay], spot[stay]
+        top = uses >= uses.max() * STEP
+        pairs = pairs[top][np.argsort(-uses[top], kind="stable")]
+        _, first = np.unique(cell(pairs), return_index=True)  # of pairs in one cell the more frequent
+        pairs = pairs[np.sort(first)]
+        rank_of = np.full(1 << _SPREAD, -1, np.int32)
+        rank_of[cell(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        own = rank_of[spot]
+        here = np.flatnonzero(own >= 0)
+        here = here[pairs[own[here]] == key[here]]
+        p, own = at[here], own[here]
+        touch = p[1:] == after[p[:-1]]
+        same = np.r_[False, touch & (own[1:] == own[:-1])]
+        order = 2 * own
+        if same.any():
+            number = np.arange(len(p))
+            order = order + (number - np.maximum.accumulate(np.where(same, 0, number)) & 1).astype(np.int32)
+        good = np.ones(len(p), bool)
+        good[1:] &= ~(touch & (order[:-1] < order[1:]))
+        good[:-1] &= ~(touch & (order[1:] < order[:-1]))
+        p, own = p[good], own[good]
+        used = np.bincount(own, minlength=len(pairs))
+        enough = used >= least
+        if not enough.any():
+            rare = np.append(rare, pairs[0])  # no better pair overlaps the first, so its uses can't grow
+            continue
+        keep = enough[own]
+        p, own = p[keep], own[keep]
+        chosen = pairs[enough]
+        rules.append(np.stack((chosen >> half, chosen & low), 1).astype(np.uint32))
+        q = after[p]
+        seq[p] = (base + n_rules + np.cumsum(enough) - 1).astype(kind)[own]
+        n_rules += len(chosen)
+        rounds.append(n_rules)
+        gone[q] = True
+        after[p] = after[q]
+        before[after[p]] = p
+        live = np.zeros(n + 1, bool)
+        live[at] = True
+        live[p] = True
+        live[before[p]] = True  # -1 is the place n, which is cleared
+        live[gone] = False
+        live[p[after[p] == n]] = False
+        live[n] = False
+        at = np.flatnonzero(live)
+    stay = ~gone[:n]
+    return np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), rounds, seq[:n][stay].astype(np.uint32), (after[:n] == n)[stay]
+
+
+def _lengths(rules: np.ndarray, after: list[int], base: int) -> np.ndarray:
+    out = np.ones(len(rules) + 1, np.int64)  # the final 1 stands for terminals
+    begin = 0
+    for end in after:
+        child = rules[begin:end].astype(np.int64) - base
+        out[begin:end] = out[np.where(child < 0, len(rules), child)].sum(1)
+        begin = end
+    return out[:-1]
+
+
+def pack(doc_ids: list[int | None], symbols: np.ndarray, sizes: np.ndarray, base: int, dtype: np.dtype, least: int | None = None) -> bytes:
+    """The payload of a block: symbols are the ids of its documents in a row, sizes how many each has (one at least)."""
     last = np.zeros(len(symbols), bool)
-    last[ends - 1] = True
-    rules, seq, last = re_pair(symbols, last, base)
-    head = _HEAD.pack(b"RPG1", dtype.itemsize, base, len(rules), len(doc_ids), len(seq))
-    keys = np.array([_NULL_ID if i is None else i for i in doc_ids], "<i8")
-    return head + keys.tobytes() + (np.flatnonzero(last) + 1).astype("<u8").tobytes() + rules.astype(dtype).tobytes() + _lengths(rules, base).astype("<u4").tobytes() + seq.astype(dtype).tobytes()
+    last[np.cumsum(sizes) - 1] = True
+    rules, after, seq, last = re_pair(symbols, last, base, least)
+    dtype = dtype if base + len(rules) <= 1 << 16 else np.dtype("<u4")
+    head = _HEAD.pack(b"RPG2", dtype.itemsize, base, len(after), len(rules), len(doc_ids), len(seq))
+    keys, missing = np.array([0 if i is None else i for i in doc_ids], "<i8"), np.array([i is None for i in doc_ids], np.uint8)
+    parts = (keys, missing, (np.flatnonzero(last) + 1).astype("<u8"), np.array(after, "<u4"), rules.astype(dtype), _lengths(rules, after, base).astype("<u4"), seq.astype(dtype))
+    return head + b"".join(p.tobytes() for p in parts)
 
 
 class Block:
     """A payload, opened: documents decode one by one or all at once."""
 
     def __init__(self, payload: bytes):
-        magic, width, self.base, n_rules, n_docs, n_symbols = _HEAD.unpack_from(payload)
-        if magic != b"RPG1":
+        magic, width, self.base, n_rounds, n_rules, n_docs, n_symbols = _HEAD.unpack_from(payload)
+        if magic != b"RPG2":
             raise ValueError("not a grammar block")
-        self.dtype, at = np.dtype(f"<u{width}"), _HEAD.size
-        parts = []
-        for kind, n in (("<i8", n_docs), ("<u8", n_docs), (self.dtype, 2 * n_rules), ("<u4", n_rules), (self.dtype, n_symbols)):
+        dtype, at, parts = np.dtype(f"<u{width}"), _HEAD.size, []
+        for kind, n in (("<i8", n_docs), ("<u1", n_docs), ("<u8", n_docs), ("<u4", n_rounds), (dtype, 2 * n_rules), ("<u4", n_rules), (dtype, n_symbols)):
             kind = np.dtype(kind)
             parts.append(np.frombuffer(payload, kind, n, at))
             at += n * kind.itemsize
-        self.keys, ends, rules, self.lengths, self.sequence = parts
+        self.keys, self.missing, ends, self.after, rules, self.lengths, self.sequence = parts
         self.ends = ends.astype(np.int64)
         self.rules = rules.reshape(-1, 2)
         self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def doc_ids(self) -> list[int | None]:
-        return [None if i == _NULL_ID else i for i in self.keys.tolist()]
+        return [None if m else i for i, m in zip(self.keys.tolist(), self.missing.tolist(), strict=True)]
 
     def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
-        """All rules written out in a row, and where each begins."""
+        """All rules written out in a row, and where each begins; a round's rules are written from those of the rounds before."""
         if self._table is None:
-            begins = np.concatenate(([0], np.cumsum(self.lengths, dtype=np.int64)))
-            flat = np.empty(begins[-1], np.uint32)
-            for r, pair in enumerate(self.rules.tolist()):
-                at = begins[r]
-                for s in pair:
-                    if s < self.base:
-                        flat[at] = s
-                        at += 1
-                    else:
-                        lo, hi = begins[s - self.base], begins[s - self.base + 1]
-                        flat[at : at + hi - lo] = flat[lo:hi]
-                        at += hi - lo
+            size = self.lengths.astype(np.int64)
+            begins = np.cumsum(size) - size
+            flat = np.empty(int(size.sum()), np.uint32)
+            first = 0
+            for end in self.after.tolist():
+                to = begins[first:end]
+                for side in range(2):
+                    child = self.rules[first:end, side].astype(np.int64)
+                    ends = child < self.base
+                    flat[to[ends]] = child[ends]
+                    rule = child[~ends] - self.base
+                    flat[_ranges(to[~ends], size[rule])] = flat[_ranges(begins[rule], size[rule])]
+                    step = np.ones(len(to), np.int64)
+                    step[~ends] = size[rule]
+                    to = to + step
+                first = end
             self._table = flat, begins
         return self._table
 
     def decode(self, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of documents lo..hi in a row, and each one's end among them."""
         hi = len(self.ends) if hi is None else hi
+        if hi <= lo:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         first = self.ends[lo - 1] if lo else 0
-        part = self.sequence[first : self.ends[hi - 1] if hi > lo else first].astype(np.int64)
+        part = self.sequence[first : self.ends[hi - 1]].astype(np.int64)
         flat, begins = self._expanded()
         rule = part >= self.base
         size = np.ones(len(part), np.int64)
         size[rule] = self.lengths[part[rule] - self.base]
-        stop = np.cumsum(size)
         source = np.concatenate((flat, part[~rule].astype(np.uint32)))
         begin = np.empty(len(part), np.int64)
         begin[rule] = begins[part[rule] - self.base]
         begin[~rule] = len(flat) + np.arange(int((~rule).sum()))
-        total = int(stop[-1]) if len(stop) else 0
-        ids = source[np.repeat(begin - (stop - size), size) + np.arange(total)]
-        return ids, stop[self.ends[lo:hi] - first - 1] if hi > lo else np.empty(0, np.int64)
+        return source[_ranges(begin, size)], np.cumsum(size)[self.ends[lo:hi] - first - 1]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
@@ -250,19 +408,22 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     def run(batches):
         shard, block = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer_path)
-        end, keys, ids, size = np.array([END_ID], enc.dtype).tobytes(), [], [], 0
+        keys, ids, sizes, n = [], [], [], 0
 
         def full():
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, block, len(keys), size // enc.dtype.itemsize, pack(keys, ids, enc.base, enc.dtype)), schema.types, strict=True)], schema=schema)
+            payload = pack(keys, np.concatenate(ids), np.concatenate(sizes), enc.base, enc.dtype)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, block, len(keys), n, payload), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(i)
-                ids.append((enc.encode(t) if t else b"") + end)
-                size += len(ids[-1])
-                if size >= BLOCK_TOKENS * enc.dtype.itemsize:
+            own = batch.column(0).to_pylist()
+            for first, some, size in encoded(batch.column(1), enc):
+                keys += own[first : first + len(size)]
+                ids.append(some)
+                sizes.append(size)
+                n += len(some)
+                if n >= BLOCK_TOKENS:
                     yield full()
-                    keys, ids, size, block = [], [], 0, block + 1
+                    keys, ids, sizes, n, block = [], [], [], 0, block + 1
         if keys:
             yield full()
 

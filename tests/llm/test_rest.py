@@ -1,7 +1,9 @@
+import functools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,44 +115,95 @@ def test_contamination_edges(spark):
 # Tokens.
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab \n\t\r1!é'\0\x85")), max_size=14))
-def test_encoder_equals_library(text):
-    e = tokens.encoder(tokenizer_path())
-    assert np.frombuffer(e.encode(text), e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+@functools.cache
+def plain_tokenizer():
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(tokenizer_path())
 
-def test_added_tokens_in_texts():
-    from tokenizers import Tokenizer
 
-    e, plain = tokens.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    assert plain.get_added_tokens_decoder()
-    for t in plain.get_added_tokens_decoder().values():
-        for text in (f"x {t.content} y", t.content, f"a b{t.content}{t.content}\n c", f"x {t.content[:-1]} y"):
-            assert np.frombuffer(e.encode(text), e.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+def encoded_lists(texts, enc):
+    out = []
+    for first, ids, sizes in tokens.encoded(pa.array(texts, pa.string()), enc):
+        assert first == len(out)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
 
 
-@settings(max_examples=60, deadline=None)
+PIECES = st.sampled_from([*"ab \n\t\r1!\u00e9'\0\x85\u3000\u00a0\u2003\u4e16\x1c", "<|endoftext|>", "'s", " the", "x" * 40, "word" * 7, "  "])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.lists(PIECES, max_size=14).map("".join), min_size=1, max_size=6))
+def test_encoder_equals_library(texts):
+    want = [[*plain_tokenizer().encode(t or "", add_special_tokens=False).ids, tokens.END_ID] for t in texts]
+    assert encoded_lists(texts, tokens.encoder(tokenizer_path())) == want
+
+
+def test_encoder_table_keeps_right_when_full(monkeypatch):
+    monkeypatch.setattr(tokens, "_SET_BITS", 3)
+    monkeypatch.setattr(tokens, "_POOL", 50)
+    monkeypatch.setattr(tokens, "_CHUNK", 300)
+    enc, plain, rng = tokens.Encoder(tokenizer_path()), plain_tokenizer(), random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(40))) for _ in range(200)]
+    assert encoded_lists(texts, enc) == [[*plain.encode(t, add_special_tokens=False).ids, tokens.END_ID] for t in texts]
+
+
+def packed(docs, **more):
+    return tokens.pack(list(range(len(docs))), np.concatenate([np.array(d, "<u2") for d in docs]), np.array([len(d) for d in docs]), 50257, np.dtype("<u2"), **more)
+
+
+@settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=60), min_size=1, max_size=8))
 def test_grammar_round_trip(docs):
-    b = tokens.Block(tokens.pack(list(range(len(docs))), [np.array(d, "<u2").tobytes() for d in docs], 50257, np.dtype("<u2")))
+    b = tokens.Block(packed(docs, least=2))
     assert b.decode()[0].tolist() == [x for d in docs for x in d]
     assert all(b.decode(i, i + 1)[0].tolist() == d for i, d in enumerate(docs))
 
 
+def most_uses(seq, last):
+    """Greatest number of uses without overlap of any pair that crosses no document."""
+    uses, end = {}, {}
+    for i in range(len(seq) - 1):
+        pair = (seq[i], seq[i + 1])
+        if not last[i] and end.get(pair, -1) < i:
+            uses[pair], end[pair] = uses.get(pair, 0) + 1, i + 1
+    return max(uses.values(), default=0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=90), min_size=1, max_size=6), st.integers(2, 5))
+def test_no_frequent_pair_is_left(docs, least):
+    symbols, sizes = np.concatenate([np.array(d, "<u2") for d in docs]), np.array([len(d) for d in docs])
+    last = np.zeros(len(symbols), bool)
+    last[np.cumsum(sizes) - 1] = True
+    _, _, seq, stop = tokens.re_pair(symbols, last, 50257, least)
+    assert most_uses(seq.tolist(), stop.tolist()) < least
+    assert int(stop.sum()) == len(docs)
+
+
+def test_rules_stay_in_two_bytes():
+    rng = np.random.default_rng(3)
+    symbols = rng.choice(90, 1 << 18, p=np.arange(90, 0, -1) / np.arange(91).sum()).astype("<u2")
+    least = tokens.least_uses(len(symbols), 50257)
+    last = np.arange(len(symbols)) == len(symbols) - 1
+    rules, _, seq, _ = tokens.re_pair(symbols, last, 50257)
+    assert 0 < len(rules) <= len(symbols) // least and 50257 + len(rules) <= 1 << 16 and len(seq) < len(symbols)
+
+
 def test_grammar_compresses():
     d = np.tile(np.arange(7, dtype="<u2"), 400)
-    rules, seq, _ = tokens.re_pair(d, np.arange(len(d)) == len(d) - 1, 50257)
+    rules, _, seq, _ = tokens.re_pair(d, np.arange(len(d)) == len(d) - 1, 50257)
     assert len(rules) > 3 and len(seq) < len(d) / 5
 
 
 def test_token_digest(spark):
-    rows = [(5, "hello world"), (2, None), (9, "a\nb  c"), (2, "again"), (7, "word " * 30000)]
-    got = tokens.token_digest(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path()).orderBy("start").collect()
-    e = tokens.encoder(tokenizer_path())
-    ids = {t: [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows}
-    crc = {zlib.crc32(np.array(v, "<u4").tobytes()): len(v) for v in ids.values()}
-    assert [r.doc_id for r in got] == [2, 2, 5, 7, 9]
+    most = (1 << 63) - 1
+    rows = [(5, "hello world", 1), (2, None, 1), (9, "a\nb  c", 1), (2, "again", 1), (7, "word " * 30000, 1), (None, "x <|endoftext|> y", 1), (most, "last", 1), (10, "", 1)]
+    got = tokens.token_digest(spark.createDataFrame(rows, "doc_id long, text string, start int"), tokenizer_path()).orderBy("start").collect()
+    plain = plain_tokenizer()
+    crc = {zlib.crc32(np.array(v, "<u4").tobytes()): len(v) for v in ([*plain.encode(t or "", add_special_tokens=False).ids, 2] for _, t, _ in rows)}
+    assert [r.doc_id for r in got] == [None, 2, 2, 5, 7, 9, 10, most]
     at = 0
     for r in got:
         assert r.start == at and crc[r.ids_crc32] == r.n_tokens

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or else one in the warehouse; a temporary one of our own only where driver and executors are one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.millrace"
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -39,7 +43,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(rows), _BATCH_ROWS) if int(rows) > 0 else _BATCH_ROWS)  # texts are long: smaller batches for Python workers
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,12 +70,13 @@ def crc32_mod(column, m: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """Components of an undirected link table (a, b) as (id, component), component = least id.
 
     Alternating large-star and small-star steps, each a min-aggregate and a join, so no
-    neighbour list is ever gathered in one row. Ids without links do not appear. Links with a
-    null end or a = b are ignored; repeated links count once.
+    neighbour list is ever gathered in one row. Rounds go on until the links no longer change, which
+    they do after about as many as the number of ids has binary digits, squared at worst. Ids without
+    links do not appear. Links with a null end or a = b are ignored; repeated links count once.
     """
 
     def digest(e: DataFrame):
@@ -78,9 +88,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         "cc",
     )
     before = digest(edges)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

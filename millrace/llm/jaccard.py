@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ from .shingles import shingle_sets
 ORDER_SAMPLE, FREQUENT = 8_000, 4
 #: Id sets up to this many entries (8 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-_TEXTS, _PER_SALT = 2_000, 512
+#: Windows from which on a pivot's region is dealt out by rows; smaller regions are lists of ids. That changes the plan, never the result.
+HOT = 50_000
+_TEXTS, _TEXT_BYTES, _PER_SALT, _BUCKET_ENTRIES, _SEEN = 2_000, 4 << 20, 512, 400_000, 1 << 17
 #: Cells with a region of so many members get all their distances to the pivot; the join radius.
 _LARGE, _RADIUS = 256, 0.2
 
@@ -37,9 +40,14 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = _TEXTS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and, beyond one row, some megabytes of texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0), np.int64)
+        part = np.cumsum(size) // _TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            for at in range(lo, hi, rows):
+                yield batch.slice(at, min(rows, hi - at))
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -81,6 +89,8 @@ def _describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 s2 = int((s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64))
                 key, window = (len(s), s1, s2), None
                 if len(s) and i is not None and seen.get(key, i + 1) > i:
+                    if len(seen) == _SEEN:
+                        seen.clear()
                     seen[key] = i
                     take = len(s) - (8 * len(s) + 9) // 10 + 1
                     if len(late):
@@ -96,20 +106,74 @@ def _describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, window binary")
 
 
-def _regions(described: DataFrame, buckets: int) -> DataFrame:
-    """Deal the windows out by pivot: (bucket, keys, doc index, doc table) blobs."""
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row of each, (doc_id, s1, n) of each row) of a batch of windows."""
+    ids, n, s1, windows = _columns(batch, "doc_id", "n", "s1", "window")
+    arrays = [np.frombuffer(w, np.uint64) for w in windows]
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(a) for a in arrays])
+    return np.concatenate(arrays) if arrays else np.empty(0, np.uint64), doc, np.array([ids, s1, n], np.int64)
+
+
+def _windows(described: DataFrame) -> DataFrame:
+    return described.where("window is not null").select("doc_id", "n", "s1", "window")
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among some sorted ones."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(some, keys)
+    at[at == len(some)] = 0
+    return some[at] == keys
+
+
+def _hot_pivots(described: DataFrame, frequent: np.ndarray, most: int) -> np.ndarray:
+    """The frequent shingles that more than `most` windows hold, sorted; at most as many as are looked at."""
+    late = described.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        for batch in batches:
+            keys = _entries(batch)[0]
+            found, times = np.unique(keys[_among(keys, late.value)], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(found.view(np.int64)), "times": pa.array(times.astype(np.int64))})
+
+    counted = _windows(described).mapInArrow(run, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
+    return np.sort(counted.where(F.col("times") > most).select("key").toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _hot_regions(described: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The regions of hot pivots by rows: (pairs as _stars has them, members); no region is in one task."""
+    some = described.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        for batch in batches:
+            keys, doc, table = _entries(batch)
+            at = np.flatnonzero(_among(keys, some.value))
+            own = table[:, doc[at]]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[at].view(np.int64)), "id": pa.array(own[0]), "s1": pa.array(own[1]), "n": pa.array(own[2])})
+
+    rows = _windows(described).mapInArrow(run, "key long, id long, s1 long, n long")
+    rows = staged(rows.groupBy("key", "s1", "n").agg(F.min("id").alias("id")), "hot")  # of equal sets the least id stands for all
+    heads = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size"))
+    dealt = rows.join(F.broadcast(heads), "key")  # a row a hot pivot
+    pairs = dealt.where("id <> p.id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.lit(1).cast("long").alias("times"), (F.col("size") == 2).cast("long").alias("alone"))
+    members = dealt.where("size > 2").select(F.xxhash64(F.lit("hot"), "key").alias("region"), F.lit(1).cast("long").alias("times"), F.col("p.id").alias("pivot"), F.col("size").cast("int").alias("size"), "id")
+    return pairs, members
+
+
+def _regions(described: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Deal the windows out by pivot, but for hot ones: (bucket, keys, doc index, doc table) blobs."""
+    some = described.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         for batch in batches:
-            ids, n, s1, windows = _columns(batch, "doc_id", "n", "s1", "window")
-            arrays = [np.frombuffer(w, np.uint64) for w in windows]
-            keys = np.concatenate(arrays)
-            doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(a) for a in arrays])
+            keys, doc, table = _entries(batch)
+            rest = ~_among(keys, some.value)
+            keys, doc = keys[rest], doc[rest]
             bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
             keys, doc = keys[order], doc[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            table = np.array([ids, s1, n], np.int64)
             rows = []
             for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 own, at = np.unique(doc[cut[k] : cut[k + 1]], return_inverse=True)
@@ -117,7 +181,7 @@ def _regions(described: DataFrame, buckets: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pydict({f: pa.array(c, t) for f, c, t in zip(("bucket", "keys", "at", "docs"), zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
-    return described.where("window is not null").select("doc_id", "n", "s1", "window").mapInArrow(run, "bucket int, keys binary, at binary, docs binary")
+    return _windows(described).mapInArrow(run, "bucket int, keys binary, at binary, docs binary")
 
 
 def _stars(regions: DataFrame) -> DataFrame:
@@ -127,7 +191,7 @@ def _stars(regions: DataFrame) -> DataFrame:
     those which no other set shares.
     """
     names = ("a", "b", "na", "nb", "times", "alone", "members")
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    types = (*[pa.int64()] * 6, pa.list_(pa.int64()))
 
     def run(table: pa.Table) -> pa.Table:
         keys, ids, s1, n = [], [], [], []
@@ -160,10 +224,10 @@ def _stars(regions: DataFrame) -> DataFrame:
             m = ids[h : h + s].tobytes()
             groups[m] = groups.get(m, 0) + 1
         k, g = len(pair), len(groups)
-        cols = [[*pair[:, j].tolist(), *[None] * g] for j in range(4)] + [[*times.tolist(), *groups.values()], [*alone.tolist(), *[None] * g], [*[None] * k, *groups]]
+        cols = [[*pair[:, j].tolist(), *[None] * g] for j in range(4)] + [[*times.tolist(), *groups.values()], [*alone.tolist(), *[None] * g], [*[None] * k, *(np.frombuffer(m, np.int64) for m in groups)]]
         return pa.table({f: pa.array(c, t) for f, c, t in zip(names, cols, types, strict=True)})
 
-    return regions.groupBy("bucket").applyInArrow(run, "a long, b long, na long, nb long, times long, alone long, members binary")
+    return regions.groupBy("bucket").applyInArrow(run, "a long, b long, na long, nb long, times long, alone long, members array<long>")
 
 
 def _worth(na: str = "na", nb: str = "nb", times="times"):
@@ -178,11 +242,14 @@ def _worth(na: str = "na", nb: str = "nb", times="times"):
     return (least * 10 >= most * 8) & (times >= need - (F.ceil(most * 8 / F.lit(10.0) - 1e-9) - 1))
 
 
+def _small(ids: DataFrame, name: str) -> DataFrame:
+    """A staged table of ids, broadcast if it has at most BROADCAST_IDS."""
+    ids = staged(ids, name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = staged(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     kept = docs.where("doc_id is not null").select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return staged(kept, "texts")
 
@@ -224,42 +291,73 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     Extra columns of docs are ignored. Null or wordless text: n_shingles 0, its own component.
-    Equal sets link (similarity 1). Rows that repeat a doc_id are each described on their own; the
-    text that links a repeated doc_id is one of its texts. A null doc_id keeps its row and gets a
-    null component. An empty table gives no rows.
+    Equal sets link (similarity 1). Rows that repeat a doc_id are documents of their own, each with
+    its own links. A null doc_id keeps its row, links with nothing and gets a null component. An empty
+    table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = staged(_describe(docs, _frequent(docs)), "sets")
-    buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = staged(_stars(_regions(described, buckets)), "stars")
-    stars = staged(found.where("a is not null").groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times"), F.sum("alone").alias("alone")), "pairs")
+    frequent = _frequent(docs)
+    described = staged(_describe(docs, frequent), "sets")
+    unlike = described.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("lo"), F.max(F.struct("n", "s1", "s2")).alias("hi")).where("lo <> hi")
+    if not unlike.isEmpty():  # a doc_id with several texts: rows are numbered, and the numbers stand for doc_ids
+        keyed = staged(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        of_row = _components(keyed.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text"), frequent)
+        of_row = staged(of_row.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("cell")).join(keyed.select("row", "doc_id"), "row"), "rows")
+        least = of_row.groupBy("cell").agg(F.min("doc_id").alias("component_id"))
+        null = described.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+        return of_row.join(least, "cell").select("doc_id", "n_shingles", "component_id").unionByName(null)
+    return _components(docs, frequent, described)
+
+
+def _components(docs: DataFrame, frequent: np.ndarray, described: DataFrame | None = None) -> DataFrame:
+    """jaccard_components of a table in which rows of one doc_id have one set."""
+    described = staged(_describe(docs, frequent), "sets") if described is None else described
+    n_windows, entries = described.agg(F.count("window"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    hot = _hot_pivots(described, frequent, HOT) if n_windows > HOT else np.empty(0, np.uint64)
+    buckets = max(8, -(-(entries // 8) // _BUCKET_ENTRIES))
+    found = staged(_stars(_regions(described, buckets, hot)), "stars")
+    pairs = found.where("a is not null").select("a", "b", "na", "nb", "times", "alone")
+    # Regions of three or more. Their rows carry their pivot and size, so no table is joined on the region alone.
+    regions = found.where("a is null").groupBy("members").agg(F.sum("times").alias("times"))
+    member = regions.select(F.xxhash64("members").alias("region"), "times", F.col("members")[0].alias("pivot"), F.size("members").alias("size"), F.explode("members").alias("id"))
+    if len(hot):
+        more_pairs, more_members = _hot_regions(described, hot)
+        pairs, member = pairs.unionByName(more_pairs), member.unionByName(more_members)
+    stars = staged(pairs.groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times"), F.sum("alone").alias("alone")), "pairs")
     links = staged(_verify(docs, stars.where(_worth()).select("a", "b")), "links")
     cells = staged(connected_components(links), "cells")
     # Recursion: in regions of three or more, members that no link connects yet. Regions with one pivot make one Voronoi cell.
-    regions = found.where("a is null").groupBy("members").agg(F.sum("times").alias("times"))
-    member = regions.select(F.xxhash64("members").alias("region"), "times", F.explode(_ids_of("members")).alias("id"))
-    member = staged(member.join(cells, "id", "left").select("region", "times", "id", F.coalesce("component", "id").alias("cell")), "members")
-    mixed = member.groupBy("region").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.min("id").alias("pivot"), F.count("*").alias("size"))
-    held = stars.select(F.col("b").alias("id"), "times").unionByName(stars.select(F.col("a").alias("id"), F.col("alone").alias("times"))).unionByName(member.join(mixed, "region").where("id = pivot").select("id", "times"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("size") / _PER_SALT)).cast("int").alias("salt")
+    member = member.join(cells, "id", "left").select("region", "times", "pivot", "size", "id", F.coalesce("component", "id").alias("cell"), salt("id"))
+    member = staged(member, "members")
+    mixed = member.groupBy("region", "pivot", "size").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"), F.max(F.when(F.col("id") == F.col("pivot"), F.col("cell"))).alias("home")).where("lo <> hi")
+    mixed = staged(mixed.select("region", "pivot", "size", "home"), "mixed")
+    held = stars.select(F.col("b").alias("id"), "times").unionByName(stars.select(F.col("a").alias("id"), F.col("alone").alias("times"))).unionByName(member.where("id = pivot").select("id", "times"))
     held = held.groupBy("id").agg(F.sum("times").alias("held"))  # how many pivots a set shares with any other
     sizes = described.where("window is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"))
     shared = F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), F.col("times")), lambda i: F.xxhash64("region", i))))  # a window's length at most
-    mixed = mixed.where("lo <> hi")
-    largest = mixed.groupBy("pivot").agg(F.max("size").alias("size"))
-    open_ = member.join(mixed.drop("size"), "region").where("id <> pivot").groupBy("pivot", "id").agg(F.first("cell").alias("cell"), shared.alias("shared"))
-    open_ = staged(open_.join(sizes, "id").join(held, "id").join(largest, "pivot"), "open")
-    far = staged(_verify(docs, open_.where(F.col("size") >= _LARGE).select(F.col("pivot").alias("a"), F.col("id").alias("b")), every=True), "far")
+    parts = mixed.select("region", "home", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / _PER_SALT).cast("int") - 1)).alias("salt"))
+    open_ = member.join(parts, ["region", "salt"]).where("id <> pivot").groupBy("pivot", "id").agg(F.first("cell").alias("cell"), F.first("home").alias("home"), shared.alias("shared"))
+    large = _small(mixed.where(F.col("size") >= _LARGE).select("pivot").distinct(), "large")
+    open_ = open_.join(sizes, "id").join(held, "id").join(large.withColumn("large", F.lit(True)), "pivot", "left")
+    open_ = staged(open_, "open")
+    far = staged(_verify(docs, open_.where("large").select(F.col("pivot").alias("a"), F.col("id").alias("b")), every=True), "far")
     far = far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("common") / F.col("total")).alias("far"), _band().alias("band"))
     # The window: a pair within 0.2 has distances to the pivot within 0.2, so it meets in a band of that width or beside it.
     open_ = open_.join(far, ["id", "pivot"], "left").withColumn("band", F.coalesce("band", F.lit(0)))
-    x, y = (open_.select("pivot", "band", (F.col("held") - F.size("shared")).alias(f"rest_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cell", "n", "far", "shared"))) for s in "xy")
-    y = y.withColumn("band", F.explode(F.when(F.col("far_y").isNull(), F.array("band")).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
+    x, y = (open_.select("pivot", "home", "band", (F.col("held") - F.size("shared")).alias(f"rest_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "cell", "n", "far", "shared"))) for s in "xy")
+    # What is connected with the pivot has nothing to be compared with among its like: one side of a pair isn't.
+    x = x.where("cell_x <> home")
+    y = y.drop("home").withColumn("band", F.explode(F.when(F.col("far_y").isNull(), F.array("band")).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
     window = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= _RADIUS + 1e-9, F.lit(True))
     here = F.size(F.array_intersect("shared_x", "shared_y")).cast("long")
     may = _worth("n_x", "n_y", here + F.least("rest_x", "rest_y"))
-    pairs = x.join(y, ["pivot", "band"]).where((F.col("id_x") < F.col("id_y")) & (F.col("cell_x") != F.col("cell_y")) & window & may)
-    pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb"), here.alias("times"))
+    once = (F.col("cell_y") == F.col("home")) | (F.col("id_x") < F.col("id_y"))
+    pairs = x.join(y, ["pivot", "band"]).where((F.col("cell_x") != F.col("cell_y")) & once & window & may)
+    low = F.col("id_x") < F.col("id_y")
+    either = lambda c: (F.when(low, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")), F.when(low, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")))
+    (a, b), (na, nb) = either("id"), either("n")
+    pairs = pairs.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"), here.alias("times"))
     # A pair's shared pivots are split between regions whose pivot it holds and others; only their sum decides.
     cell = lambda c: cells.select(F.col("id").alias(c), F.col("component").alias(f"cell_{c}"))
     rest = stars.where(~_worth()).join(cell("a"), "a", "left").join(cell("b"), "b", "left").where("coalesce(cell_a, a) <> coalesce(cell_b, b)").select("a", "b", "na", "nb", "times")
@@ -271,20 +369,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return joined.join(final, F.col("least") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "least").alias("component_id"))
 
 
-def _ids_of(column: str):
-    """The little-endian 64-bit ids of a blob, unpacked in the JVM."""
-    text = F.hex(F.col(column))
-    at = F.sequence(F.lit(0), (F.length(column) / 8).cast("int") - 1)
-
-    def one(i):
-        h = F.substring(text, i * 16 + 1, F.lit(16))
-        swapped = F.concat(*(F.substring(h, F.lit(15 - 2 * k), F.lit(2)) for k in range(8)))
-        return F.conv(swapped, 16, -10).cast("long")
-
-    return F.transform(at, one)
-
-
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their group: those whose doc_id is their component's least (null doc_ids stay)."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(*docs.columns))
+    """One row of each group of linked documents, one of its least doc_id, with docs's own columns.
+
+    Rows with a null doc_id link with nothing and stay. Null, empty and wordless texts make groups of
+    their own. Rows that repeat a doc_id are documents of their own: of equal ones one stays. Whole
+    texts, whatever their length; further columns may have any names; an empty table gives none.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no clash with names of our own
+    plain = docs.toDF(*names)
+    key, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    known = plain.where(key.isNotNull())
+    if known.groupBy(key.cast("long").alias("doc_id")).count().where("count > 1").isEmpty():
+        kept = jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id")
+        kept = known.join(kept, key.cast("long") == F.col("doc_id"), "left_semi")
+    else:  # some doc_id has several rows: rows are numbered, and the numbers stand for doc_ids
+        numbered = staged(known.withColumn("row", F.monotonically_increasing_id()), "rows")
+        alike = jaccard_components(numbered.select(F.col("row").alias("doc_id"), text.cast("string").alias("text")))
+        first = alike.select(F.col("doc_id").alias("row"), F.col("component_id").alias("cell")).join(numbered.select("row", key.cast("long").alias("doc_id")), "row").groupBy("cell").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+        kept = numbered.join(first.select(F.col("least.row").alias("row")), "row", "left_semi").select(*names)
+    return kept.unionByName(plain.where(key.isNull())).toDF(*docs.columns)

@@ -23,7 +23,7 @@ CELLS, DIM, ENTRIES, REACH = 1 << 12, 32, 2, 2
 #: The most labelled rows the network is trained on, its hidden units and passes.
 TRAIN_ROWS, HIDDEN, PASSES = 10_000, 24, 400
 _BLOCKS = 16
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[[32, *range(9, 14)]] = 0
 _CLASS[ord("a") : ord("z") + 1] = 1

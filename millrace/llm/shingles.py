@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SLOT = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

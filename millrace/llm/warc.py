@@ -12,6 +12,7 @@ import hashlib
 import struct
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def build_archive(pages: DataFrame, segment_records: int = SEGMENT_RECORDS) -> D
     def run(batches):
         shard, n, offset = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            size = pa.compute.binary_length(batch.column(1)).to_pylist()
+            size = pc.binary_length(batch.column(1)).to_pylist()
             where = []
             for s in size:
                 if n % segment_records == 0:

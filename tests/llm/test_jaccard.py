@@ -4,6 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from millrace.llm import jaccard
 from millrace.llm.common import connected_components
 from millrace.llm.jaccard import _band, jaccard_components, keep_one_per_group
 from millrace.llm.shingles import shingle_sets
@@ -62,6 +63,29 @@ def test_families_match_brute_force(spark):
         assert run(spark, list(texts.items())) == brute(texts)
 
 
+def test_hot_regions_by_rows_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    monkeypatch.setattr(jaccard, "_PER_SALT", 4)
+    monkeypatch.setattr(jaccard, "_LARGE", 5)
+    rng, texts = random.Random(9), families(3)
+    base = [f"w{i}" for i in range(200)]
+    for n in range(1000, 1080):  # a large group of copies that all differ, beyond the radius too
+        copy = list(base)
+        for _ in range(rng.randrange(9)):
+            copy[rng.randrange(200)] = f"v{rng.randrange(99)}"
+        texts[n] = " ".join(copy)
+    assert run(spark, list(texts.items())) == brute(texts)
+
+
+def test_repeated_doc_ids_are_rows_of_their_own(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, one), (5, two), (9, two), (3, one + " c"), (7, "alone here"), (None, one), (7, "alone here")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert got == [(3, 27, 3), (5, 26, 3), (5, 26, 5), (7, 1, 7), (7, 1, 7), (9, 26, 5)]
+    kept = keep_one_per_group(spark.createDataFrame([(a, b, "x", n) for n, (a, b) in enumerate(rows)], "doc_id long, text string, least string, row int"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, one), (3, one + " c"), (5, two), (7, "alone here")])
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "ONE two"), (6, "one two three"), (7, "x " * 20000), (8, "x " * 30000)]
     got = run(spark, rows)

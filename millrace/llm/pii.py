@@ -1,11 +1,14 @@
 """Personal data: high-recall generators, boosted trees over format and context, calibrated thresholds.
 
 The base rules always stand. Further generators propose spans that may overlap; a span is redacted
-when the trees' probability reaches its kind's threshold, its own format check holds, and no base
-span or likelier span overlaps it. The trees are grown on aggregated counts of binned features,
-with the format checks of the rules as labels, and are applied as a sum of CASE expressions.
-Everything runs as DataFrame expressions: every feature cell stays in a staged table of counts, and
-only sums per feature and bin (at most 72 bins) and a threshold per kind reach the driver.
+when the trees' probability reaches its kind's threshold and no base span or likelier span overlaps
+it. The trees learn from evidence that their features don't show: checksums and value ranges of
+cards, addresses, bank and social security numbers, and, for kinds without any, whether the same
+value stands elsewhere in the corpus in a base rule's notation. Candidates without evidence are
+scored but not learnt from. The trees are grown on aggregated counts of binned features and applied
+as a sum of CASE expressions. Everything runs as DataFrame expressions: every feature cell stays in a
+staged table of counts, and only sums per feature and bin (at most 72 bins) and a threshold per kind
+reach the driver.
 """
 
 from __future__ import annotations
@@ -78,24 +81,53 @@ def luhn_holds(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda total, i: total + F.coalesce(value(i), F.lit(1))) % 10 == 0
 
 
+def iban_holds(match: Column) -> Column:
+    """The number with its first four characters last, letters as 10 to 35, leaves 1 by 97."""
+    plain = F.replace(match, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+    letters = lambda c: F.ascii(c) - 55
+    step = lambda left, c: F.when(c.rlike("[0-9]"), (left * 10 + c.cast("int")) % 97).otherwise((left * 100 + letters(c)) % 97)
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
+
+
 def is_valid() -> Column:
-    """The format check of each kind, on (kind, match, before)."""
+    """What the rule of a kind says of a match beyond its pattern, on (kind, match); null for kinds without such a rule."""
     m, digits = F.col("match"), _digits(F.col("match"))
     n = F.length(digits)
     octets = F.forall(F.split(m, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+(?=.)", "")) <= 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255))
-    cue = F.lower(F.col("before")).rlike(_CUES[2])
     return (
         F.when(F.col("kind") == "email", F.lit(True))
         .when(F.col("kind") == "ip", octets)
         .when(F.col("kind") == "card", n.between(16, 19) & F.when(n.between(16, 19), luhn_holds(digits)).otherwise(False))
         .when(F.col("kind") == "phone", n.between(8, 15))
-        .when(F.col("kind") == "local_phone", n.between(9, 11) & cue)
         .when(F.col("kind") == "ssn", ~m.rlike("^(000|666|9)|-00-|-0000$"))
-        .when(F.col("kind") == "iban", F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & (n >= 10))
-        .otherwise(F.lit(True))
+        .when(F.col("kind") == "iban", iban_holds(m))
     )
 
 
+def value_key() -> Column:
+    """What a phone number or mail address has in common with other notations of it: its last seven digits, or local part and domain."""
+    m = F.lower(F.col("match"))
+    mail = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, r"\x20?(?:\(at\)|\[at\]|\x20at)\x20?", "@"), r"\x20?(?:\(dot\)|\[dot\]|\x20dot)\x20?", "."), " ", "")
+    return F.when(F.col("kind").isin("phone", "local_phone"), F.concat(F.lit("t:"), F.substring(_digits(m), -7, 7))).when(F.col("kind").isin("email", "masked_email"), F.concat(F.lit("m:"), mail))
+
+
+def evidence_cells(tested: DataFrame) -> DataFrame:
+    """f_<feature>..., held, p, n: candidates with evidence for and against them, counted by feature cell and fold.
+
+    tested: featured candidates with valid. A value is counted before it is looked up among the
+    base spans' values, so one that very many documents hold is a few rows of that join.
+    """
+    features = [f"f_{f}" for f in FEATURES]
+    fold = (F.pmod(F.xxhash64("rid"), F.lit(4)) == 0).cast("int").alias("held")
+    wanted = F.when(F.col("valid").isNull(), value_key()).alias("wanted")
+    counted = tested.groupBy(*features, fold, "valid", wanted).agg(F.count("*").alias("times"))
+    known = tested.where(F.col("kind").isin("phone", "email") & F.col("valid")).select(value_key().alias("wanted")).distinct().withColumn("known", F.lit(True))
+    said = F.coalesce("valid", F.col("known"), F.when(F.col("f_cue") == 6, F.lit(False)))
+    told = counted.join(known, "wanted", "left").withColumn("said", said).where("said is not null")
+    return told.groupBy(*features, "held").agg(F.sum(F.when(F.col("said"), F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("said"), 0).otherwise(F.col("times"))).alias("n"))
+
+
 def featured(found: DataFrame) -> DataFrame:
     """Binned format and context features as small ints."""
     m, digits = F.col("match"), _digits(F.col("match"))
@@ -189,12 +221,13 @@ def probability(bias: float, trees: list) -> Column:
 
 
 def thresholds(bias: float, trees: list, held: DataFrame) -> dict[int, float]:
-    """By kind the least probability from which on the held-out fold, over all its cells, is PRECISION right; 1.01 (nothing) where there is none."""
-    scored = held.select(F.col("f_kind").alias("place"), probability(bias, trees).alias("q"), "p", "n").groupBy("place", "q").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    """By kind the least probability from which on the held-out fold, over all its cells, is PRECISION right; a kind that the fold lacks has that of all kinds together, and 1.01 (nothing) stands where none reaches it."""
+    scored = held.select(F.col("f_kind").alias("place"), probability(bias, trees).alias("q"), "p", "n")
+    scored = scored.unionByName(scored.withColumn("place", F.lit(-1))).groupBy("place", "q").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     above = Window.partitionBy("place").orderBy(F.desc("q"))
     right = scored.select("place", "q", F.sum("p").over(above).alias("good"), F.sum(F.col("p") + F.col("n")).over(above).alias("all"))  # a row for each kind and sum of leaves
-    found = right.where(F.col("good") >= PRECISION * F.col("all")).groupBy("place").agg(F.min("q").alias("q")).collect()
-    return {place: 1.01 for place in range(len(BASE) + len(EXTRA))} | {r.place: r.q for r in found}
+    found = {r.place: 1.01 if r.q is None else r.q for r in right.groupBy("place").agg(F.min(F.when(F.col("good") >= PRECISION * F.col("all"), F.col("q"))).alias("q")).collect()}
+    return {place: found.get(place, found.get(-1, 1.01)) for place in range(len(BASE) + len(EXTRA))}
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -206,17 +239,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
     rows, found = candidates(docs, kinds())
     tested = featured(found).withColumn("valid", is_valid())
-    features = [f"f_{f}" for f in FEATURES]
-    fold = (F.pmod(F.xxhash64("rid"), F.lit(4)) == 0).cast("int").alias("held")
-    counts = F.sum(F.col("valid").cast("long")).alias("p"), F.sum((~F.col("valid")).cast("long")).alias("n")
-    cells = staged(tested.groupBy(*features, fold).agg(*counts), "cells")
+    cells = staged(evidence_cells(tested), "cells")
     bias, trees = grow(cells.where("held = 0"))
     cut = thresholds(bias, trees, cells.where("held = 1"))
     least = F.lit(1.01)
     for place, q in cut.items():
         least = F.when(F.col("place") == place, F.lit(q)).otherwise(least)
     is_base = F.col("place") < len(BASE)
-    chosen = tested.withColumn("p", probability(bias, trees)).where("valid").where(is_base | (F.col("p") >= least - 1e-12))
+    chosen = tested.withColumn("p", probability(bias, trees)).where(F.when(is_base, F.col("valid")).otherwise(F.col("p") >= least - 1e-12))
     span = F.struct("place", "start", "end", "kind", "p")
     per = chosen.groupBy("rid").agg(F.collect_list(F.when(is_base, span)).alias("base"), F.collect_list(F.when(~is_base, span)).alias("more"))  # one text's spans
     over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])

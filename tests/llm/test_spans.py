@@ -63,10 +63,35 @@ def test_copied_and_live_values(spark):
     assert got[0] == (0, 1) and got[9] == (1, 0)
 
 
+def test_hot_values_are_joined_alike(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "token = abcdefgh12345678 and secret: v%d23456789" % i, f"s{i % 4}") for i in range(40)], "doc_id long, text string, source string")
+    plain = sorted(find_secrets(docs).collect())
+    monkeypatch.setattr("millrace.llm.secrets.HOT_REPOS", 5)
+    assert sorted(find_secrets(docs).collect()) == plain and plain[0].n_copied == 1 and plain[0].n_live == 1
+
+
 def test_masked_personal_data_needs_evidence(spark):
     """Trees with nothing to learn from select nothing beyond the base."""
     docs = spark.createDataFrame([(1, "bob (at) foo (dot) com")], "doc_id long, text string")
-    assert find_personal_data(docs).first().n_more in (0, 1)
+    assert find_personal_data(docs).first().n_more == 0
+
+
+def test_trees_add_and_refuse(spark):
+    """Local numbers that the corpus also holds in international notation, against invoice numbers: a new one of either sort is judged by the trees."""
+    texts = []
+    for i in range(60):
+        texts += [f"office: +1 (212) 555-{1000 + i}", f"please call (212) 555-{1000 + i} today", f"our invoice {10 + i % 80}-{200 + i}-{3000 + i} was sent"]
+    texts += ["please call (646) 777-8123 today", "lot 55-777-4321 was sent", "write to ann (at) mail (dot) org"]
+    got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got[180].spans == "local_phone:12:26" and got[180].n_more == 1 and got[180].n_phone == 0
+    assert got[181].n_more == 0
+    assert all(got[i].n_more == (i % 3 == 1) for i in range(180))
+
+
+def test_bank_numbers_by_checksum(spark):
+    rows = [("DE89 3704 0044 0532 0130 00", True), ("DE88370400440532013000", False), ("GB82 WEST 1234 5698 7654 32", True), ("GB82 WEST 1234 5698 7654 33", False)]
+    df = spark.createDataFrame(rows, "match string, ok boolean")
+    assert df.where(pii.iban_holds(df["match"]) != df["ok"]).count() == 0
 
 
 def leaf(tree, x):

@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .spans import Kind, candidates, joined
 
 BASE = ("assign", "access", "hex")
 EXTRA = ("key_block", "named", "prefixed")
 #: A value with more distinct owners than this is a widely copied example.
 FEW_OWNERS = 2
+#: Repositories from which on a value may be hot: then it is joined by broadcast if it also holds a thousandth of all (value, repository) pairs, so that there are at most a thousand such values.
+HOT_REPOS = 1_000
 
 _NAME = r"(?i:password|passwd|secret|token|api_?key)"
 PATTERNS = {
@@ -55,6 +58,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return repos.join(owners, "hash")
 
 
+def with_ownership(found: DataFrame) -> DataFrame:
+    """found with n_repos and n_owners of its hash; no hot value lands in one task."""
+    owned = staged(ownership(found), "owned")
+    every = owned.agg(F.sum("n_repos")).first()[0] or 0
+    hot = F.broadcast(owned.where(F.col("n_repos") >= max(HOT_REPOS, every // 1_000)))
+    if hot.isEmpty():
+        return found.join(owned, "hash")
+    return found.join(hot, "hash").unionByName(found.join(hot, "hash", "left_anti").join(owned, "hash"))
+
+
 def find_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_more.
 
@@ -69,7 +82,7 @@ def find_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     size = F.length("value")
     valid = F.when(F.col("kind") == "assign", size >= 8).when(F.col("kind") == "access", size >= 16).when(F.col("kind") == "hex", size >= 32).otherwise(F.lit(True))
     found = found.where(valid).select("rid", "kind", "place", "start", "end", F.sha2("value", 256).alias("hash"), F.coalesce("doc_id", "rid").alias("repo"), "owner")
-    counted = found.join(ownership(found), "hash")
+    counted = with_ownership(found)
     is_base = F.col("place") < len(BASE)
     live = F.col("n_owners") <= FEW_OWNERS
     span = F.struct("place", "start", "end", "kind")

@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed per character, and the shortest item (normalized) that is looked for.
+from .common import staged
+
+#: Edits allowed per character; items (normalized) shorter than MIN_CHARS must stand unedited, as words of their own.
 RATE, MIN_CHARS = 0.06, 24
-#: Characters of items that one automaton may hold; larger benchmarks are matched block by block.
+#: Characters of items that one automaton may hold; larger benchmarks are matched block by block, a pass over the texts each.
 BLOCK_CHARS = 16_000_000
 _SPACES = re.compile(r"\s+")
 
@@ -63,12 +65,13 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
         self.items: list[tuple[int, str, int, dict[str, int]]] = []
+        self.min_chars = min_chars
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             s = normalized(text)
-            if item_id is None or len(s) < min_chars:
+            if item_id is None or not s:
                 continue
-            k = int(rate * len(s))
+            k = int(rate * len(s)) if len(s) >= min_chars else 0
             cuts = [len(s) * j // (k + 1) for j in range(k + 2)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 pieces.setdefault(s[lo:hi], []).append((len(self.items), lo))
@@ -91,6 +94,10 @@ class Matcher:
                 if found.get(item_id) == 0:
                     continue
                 begin = end + 1 - size - offset
+                if len(s) < self.min_chars:
+                    if not (t[begin - 1 : begin].isalnum() or t[end + 1 : end + 2].isalnum()):
+                        found[item_id] = 0
+                    continue
                 cell = (n, begin // (k + 1))
                 if cell in tried:
                     continue
@@ -119,42 +126,49 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
     """One row per document: doc_id, contaminated, n_items, items (ascending), least_distance (null if none).
 
     Texts and items are compared in lower case with runs of white space as one space, whole
-    texts, no prefix. Items that are null or normalize to fewer than min_chars characters are
+    texts, no prefix. Items that normalize to fewer than min_chars characters are found where they
+    stand unedited between characters that are neither letters nor digits; null and empty items are
     never found; null or empty texts hold nothing; repeated rows of documents give repeated rows,
     repeated items count once by item_id. Extra columns are ignored; empty tables are fine.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast("array<long>").alias("items"), F.lit(None).cast("long").alias("least_distance"))
+    types, names = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64()], ["doc_id", "text", "items", "least_distance"]
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark)]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
-    names = ["doc_id", "contaminated", "n_items", "items", "least_distance"]
-
-    def run(batches):
-        matchers = [Matcher(b.value, rate, min_chars) for b in blocks]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                rows = []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    hit: dict[int, int] = {}
-                    for m in matchers:
-                        for item, d in m.find(text).items():
-                            hit[item] = min(d, hit.get(item, d))
-                    rows.append((i, bool(hit), len(hit), sorted(hit), min(hit.values(), default=None)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return docs.mapInArrow(run, "doc_id long, contaminated boolean, n_items long, items array<long>, least_distance long")
+    for n, block in enumerate(_blocks(benchmark)):
+        items = sc.broadcast(block)
+
+        def run(batches, items=items):
+            matcher = Matcher(items.value, rate, min_chars)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    rows = []
+                    for i, text, known, least in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                        hit = matcher.find(text)
+                        rows.append((i, text, sorted({*known, *hit}), min((*hit.values(), *([] if least is None else [least])), default=None)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        found = (staged(found, "blocks") if n else found).mapInArrow(run, "doc_id long, text string, items array<long>, least_distance long")
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items", "least_distance")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of docs that hold no item, with docs's own columns, in one pass over the texts."""
+    """The rows of docs that hold no item, with docs's own columns, in one pass over the texts for each block of items.
+
+    Rows with null or empty texts and null doc_ids stay, repeated rows stay or go together, texts are
+    read whole whatever their length, and further columns may have any names. An empty table gives
+    none, an empty benchmark drops nothing.
+    """
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark)]
     at = docs.columns.index("text")
+    kept = docs
+    for n, block in enumerate(_blocks(benchmark)):
+        items = sc.broadcast(block)
 
-    def run(batches):
-        matchers = [Matcher(b.value, rate, min_chars) for b in blocks]
-        for batch in batches:
-            yield batch.filter(pa.array([not any(m.find(t) for m in matchers) for t in batch.column(at).to_pylist()], pa.bool_()))
+        def run(batches, items=items):
+            matcher = Matcher(items.value, rate, min_chars)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(at).cast(pa.string()).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        kept = (staged(kept, "blocks") if n else kept).mapInArrow(run, docs.schema)
+    return kept

@@ -1,9 +1,9 @@
 """Merkle fixity audit of WARC replicas.
 
 An archive is a table of segments of WARC records with ordered offset ranges. A leaf hashes a
-record's digest with its offset and length; leaves make a binary tree per segment, segment roots one
-per shard. Two replicas are compared root by root, shards first, and only mismatching branches are
-descended, down to the records where they differ.
+record's digest with its offset and length; leaves make a binary tree per segment, and segment roots
+a tree of FAN children a node per shard. Two replicas are compared root by root, shards first, and
+only mismatching branches are descended, down to the records where they differ.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-SEGMENT_RECORDS = 256
+#: Records of a segment, and children of a node above the segments.
+SEGMENT_RECORDS, FAN = 256, 256
 _LEAF, _NODE = b"\x00", b"\x01"
 
 
@@ -104,16 +105,36 @@ def segment_trees(replica: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "segment").applyInArrow(run, "shard int, segment int, root binary, leaves binary")  # a segment's records
 
 
+def _upper(trees: DataFrame, height: int) -> list[DataFrame]:
+    """Levels from segments up: (shard, node, root), so many above the segments; a node hashes at most FAN children in order."""
+    levels = [trees.select("shard", F.col("segment").alias("node"), "root")]
+    for _ in range(height):
+        below = levels[-1].groupBy("shard", F.expr(f"node div {FAN}").cast("int").alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("below"))
+        named = F.transform("below", lambda s: F.concat(s["node"].cast("string"), F.lit(":"), F.hex(s["root"])))
+        levels.append(below.select("shard", "node", F.unhex(F.sha2(F.array_join(named, ","), 256)).alias("root")))
+    return levels
+
+
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """shard, segment, ordinal of the records at which two replicas differ, with the nodes compared in the segment.
 
     Records that only one replica has differ. Extra columns are ignored; empty replicas agree.
     """
     a, b = staged(segment_trees(left), "tree"), staged(segment_trees(right), "tree")
-    roots = lambda t: t.groupBy("shard").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "root"))), lambda s: F.hex(s["root"])), ""), 256).alias("shard_root"))
-    bad = roots(a).alias("x").join(roots(b).alias("y"), "shard", "full").where("not (x.shard_root <=> y.shard_root)").select("shard")
-    x, y = (t.join(bad, "shard", "left_semi") for t in (a, b))
-    both = x.select("shard", "segment", F.col("root").alias("root_a"), F.col("leaves").alias("a")).join(y.select("shard", "segment", F.col("root").alias("root_b"), F.col("leaves").alias("b")), ["shard", "segment"], "full").where("not (root_a <=> root_b)")
+    most = max(t.agg(F.coalesce(F.max("segment"), F.lit(0))).first()[0] for t in (a, b))
+    height = 1
+    while most >= FAN**height:
+        height += 1
+    bad = None
+    for x, y in zip(reversed(_upper(a, height)), reversed(_upper(b, height)), strict=True):  # from the shards' roots down
+        if bad is not None:
+            above = bad.select("shard", F.col("node").alias("above"))
+            x, y = (t.join(above, (t["shard"] == above["shard"]) & (F.expr(f"node div {FAN}") == F.col("above")), "left_semi") for t in (x, y))
+        both = x.withColumnRenamed("root", "one").join(y.withColumnRenamed("root", "two"), ["shard", "node"], "full")
+        bad = staged(both.where("not (one <=> two)").select("shard", "node"), "branches")
+    bad = bad.select("shard", F.col("node").alias("segment"))
+    x, y = (t.join(bad, ["shard", "segment"], "left_semi") for t in (a, b))
+    both = x.select("shard", "segment", F.col("leaves").alias("a")).join(y.select("shard", "segment", F.col("leaves").alias("b")), ["shard", "segment"], "full")
 
     def run(batches):
         for batch in batches:

@@ -25,12 +25,16 @@ _BLOCK, _BUCKET_ROWS = 2048, 24_000
 
 
 def _unit(blobs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1).astype(np.float64)
+    """Unit vectors of blobs of one length; a first byte tells the width of their components."""
+    kind = np.dtype(f"<f{blobs[0][0]}")
+    x = np.frombuffer(b"".join(b[1:] for b in blobs), kind).reshape(len(blobs), -1).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _raw(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (float32 bytes; null where the vector can't be compared)."""
+    """vec_id, v (bytes: 4 or 8 for the width, then the components as the table has them; null where the vector can't be compared)."""
+    wide = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
 
     def run(batches):
         for batch in batches:
@@ -40,10 +44,7 @@ def _raw(vectors: DataFrame) -> DataFrame:
                 if x and None not in x:
                     a = np.array(x, np.float64)
                     if np.isfinite(a).all() and a.any():
-                        f = a.astype(np.float32)
-                        if not (np.isfinite(f).all() and f.any()):
-                            f = (a / np.abs(a).max()).astype(np.float32)
-                        good = (f + np.float32(0)).tobytes()
+                        good = b"\x08" + (a + 0.0).astype("<f8").tobytes() if wide else b"\x04" + (a + 0.0).astype("<f4").tobytes()
                 out.append(good)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "v"])
 
@@ -158,7 +159,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     Vectors that are null, zero, or hold null or non-finite components, and rows without vec_id,
     link with nothing. Vectors of different lengths never link. Rows that repeat a vec_id count as
     vectors of their own. Extra columns are ignored; an empty table gives no rows. Components are
-    compared in single precision storage, cosines in double precision.
+    kept as the table has them, cosines are in double precision.
     """
     raw = staged(_raw(vectors), "vectors")
     usable = raw.where("v is not null and vec_id is not null")
@@ -172,7 +173,8 @@ def near_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     with_ = F.sequence(F.lit(0), F.col("blocks") - 1)
     # Two blocks meet in the cell of both; a block's own pairs in (b, b) only.
     dealt = dealt.withColumn("other", F.explode(with_)).select("key", "rep", "times", "v", "prefix", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
-    buckets = max(4, -(-n * (PREFIX * (PREFIX - 1) // 2) // _BUCKET_ROWS))
+    replicas = sizes.agg(F.sum(F.when(F.col("size") > _BLOCK, F.col("size") * F.ceil(F.col("size") * 2 / F.lit(_BLOCK))).otherwise(F.col("size")))).first()[0] or 0
+    buckets = max(4, -(-replicas // _BUCKET_ROWS))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(buckets)).cast("int"))
     found = staged(_verified(dealt, least), "links")
     counts = found.groupBy("rep").agg(F.sum("others").alias("others"))

@@ -229,7 +229,16 @@ def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def repeat_to_rates(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """docs with every row repeated as often as its copies say; the floor of 1 keeps each at least once."""
-    rates = mix(docs, labelled, floor=1.0).groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-    joined = docs.join(rates, docs["doc_id"].eqNullSafe(rates["doc_id"]), "left").select(*(docs[c] for c in docs.columns), F.coalesce("mix_copies", F.lit(1)).cast("int").alias("mix_copies"))
-    return joined.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """docs with every row repeated as often as its copies say; the floor of 1 keeps each at least once.
+
+    Rows with a null doc_id are rated like others; null and empty texts have no tokens and the rate
+    of their prior posterior. Rows that repeat a doc_id get the most copies of any of them. Ties
+    between domains don't matter: rates follow the posteriors. Texts count whole, further columns may
+    have any names, and an empty table gives none.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no clash with names of our own
+    plain, key = docs.toDF(*names), names[docs.columns.index("doc_id")]
+    rates = mix(docs.select("doc_id", "text"), labelled, floor=1.0).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    joined = plain.join(rates, F.col(key).cast("long").eqNullSafe(F.col("doc_id")), "left")
+    times = F.explode(F.array_repeat(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int"))).alias("time")
+    return joined.select(*names, times).select(*names).toDF(*docs.columns)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -31,9 +32,12 @@ _SEEDS = {
     "threat": "kill murder strangle stab behead lynch exterminate",
 }
 _CLASSES = {
-    "target": "you your yours yourself u ur he she him her they them their this that these those",
-    "negation": "not no never neither nor without hardly isn't aren't wasn't don't doesn't didn't won't",
-    "report": "said says say told tells wrote writes claimed claims quoted quotes alleged reported reportedly according called",
+    "target": "you your yours yourself u ur he she him her they them their this that these those "
+    "tú tu tus usted ustedes él ella ellos ellas este esta estos estas ese esa du dich dir dein deine ihr euch sie er ihm ihn diese dieser dieses toi tu te ton ta tes vous votre vos il elle ils elles ce cet cette ces",
+    "negation": "not no never neither nor without hardly isn't aren't wasn't don't doesn't didn't won't "
+    "nunca jamás ni sin tampoco ningún ninguna nicht kein keine keinen keiner nie niemals ohne weder noch ne pas jamais aucun aucune sans",
+    "report": "said says say told tells wrote writes claimed claims quoted quotes alleged reported reportedly according called "
+    "dijo dice dicen escribió afirmó según citó sagte sagt schrieb schreibt behauptete laut zitierte dit disait écrit écrivit affirma selon cita",
 }
 _HITS = ("insult", "threat")
 _FORMS = ("bare", "aimed", "negated", "reported")
@@ -128,12 +132,13 @@ class Lexicon:
     def clauses(self, text: str) -> Counter:
         """Total weight by form and class over the clauses that hold a hit."""
         hits, total, done = self.hits(text), Counter(), -1
+        ends = [m.start() for m in _CLAUSE_END.finditer(text)] if hits else []
         for at in sorted(hits):
             if at < done:
                 continue
-            begin = max(text.rfind(c, 0, at) for c in ".!?;\n") + 1
-            stop = _CLAUSE_END.search(text, at)
-            done = stop.start() if stop else len(text)
+            n = bisect_left(ends, at)
+            begin = ends[n - 1] + 1 if n else 0
+            done = ends[n] if n < len(ends) else len(text)
             words = [(m.start(), m.group()) for m in _WORD.finditer(text, begin, done)]
             symbols = [hits[s][0] if s in hits else _WORD_CLASS.get(w, "other") for s, w in words]
             for (s, _), (out, weight) in zip(words, _GRAMMAR(symbols), strict=True):
@@ -260,7 +265,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the score doesn't reject, with docs's own columns, in one pass over the texts."""
+    """The rows of docs that the score doesn't reject, with docs's own columns, in one pass over the texts.
+
+    Null and empty texts are scored like a text without matches, repeated rows stay or go together,
+    rows with a null doc_id are scored like others, texts are read whole whatever their length, and
+    further columns may have any names. An empty table gives none.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 
@@ -268,7 +278,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
         m = model.value
         lex = Lexicon(m.lexicon)
         for batch in batches:
-            keep = m.scores(batch.column(at).to_pylist(), lex) < threshold
+            keep = m.scores(batch.column(at).cast(pa.string()).to_pylist(), lex) < threshold
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import decontam, embed_dedup, mixing, quality, tokens, toxicity, warc
 from millrace.llm.queries import tokenizer_path
@@ -40,6 +41,9 @@ def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.9
+    toxic, clean = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in toxic for b in clean]) > 0.75  # area under the curve
+    assert np.mean([a >= 0.3 for a in toxic]) > 0.5 and np.mean([b >= 0.3 for b in clean]) < 0.02
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and 700 < kept.count() < 1000
 
@@ -51,6 +55,14 @@ def test_toxicity_edges(spark):
     assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows) and rows[0].score == rows[1].score
 
 
+def test_clause_classes_in_four_languages():
+    lex = toxicity.Lexicon({"tonto": 1.0, "dumm": 1.0, "bete": 1.0})
+    total = lambda t: dict(lex.clauses(t))
+    assert total("nunca tonto") == {("negated", "insult"): 1.0} and total("du dumm") == {("aimed", "insult"): 1.0}
+    assert total("il dit bete") == {("reported", "insult"): 1.0} or total("elle disait bete") == {("reported", "insult"): 1.0}
+    assert total("x " * 100000 + "tonto") == {("bare", "insult"): 1.0}
+
+
 # Quality.
 
 
@@ -109,9 +121,21 @@ def test_contamination_edges(spark):
     got = sorted((r.doc_id or 0, r.contaminated, r["items"]) for r in decontam.contamination(docs, bench).collect())
     assert got == [(0, True, [1]), (1, False, []), (1, True, [1]), (2, False, []), (3, False, [])]
     assert decontam.drop_contaminated(docs, bench).count() == 3
+    assert decontam.contamination(docs.where("false"), bench).collect() == [] and decontam.drop_contaminated(docs.where("false"), bench).collect() == []
     assert decontam.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_short_items_and_blocks(spark, monkeypatch):
+    """Items under MIN_CHARS count as whole words, and a benchmark in several blocks gives what one block gives."""
+    bench = spark.createDataFrame([(1, "Blue Cat"), (2, "a longer item with more than enough letters"), (3, "blue"), (4, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the blue  cat."), (2, "bluecat blues"), (3, "q a longer item with more then enough letters " + "pad " * 60000), (4, "(X)")], "doc_id long, text string")
+    found = lambda: {r.doc_id: r["items"] for r in decontam.contamination(docs, bench).collect()}
+    want = {1: [1, 3], 2: [], 3: [2], 4: [4]}
+    assert found() == want
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 10)
+    assert found() == want and [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
+
+
 # Tokens.
 
 
@@ -214,6 +238,35 @@ def test_token_digest(spark):
 # Mixing.
 
 
+def test_rates_equal_brute_force(spark):
+    """Nonnegative least squares by plain projected gradient over the documents, run to the end."""
+    rng = np.random.default_rng(1)
+    n, p = rng.integers(1, 60, 30).astype(float), rng.dirichlet([0.6, 0.6, 0.6], 30)
+    members = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(30)], "doc_id long, n_tokens long, posterior array<double>")
+    weights = [0.05, 0.15, 0.8]
+    rated, trace = mixing.solve_rates(members, 3, weights)
+    r = np.array([x.rate for x in rated.orderBy("doc_id").collect()])
+    a = (n[:, None] * p).T
+    target = np.array(weights) * max(a.sum(1) / weights)
+    s = a.sum(1)
+    loss = lambda r: ((a @ r - target) ** 2 / (2 * s)).sum()
+    x, scaled = np.ones(30), a / np.sqrt(s)[:, None]
+    step = 1 / np.linalg.eigvalsh(scaled @ scaled.T).max()
+    for _ in range(20_000):
+        x = np.maximum(0, x - step * scaled.T @ (scaled @ x - target / np.sqrt(s)))
+    assert (r >= 0).all() and loss(r) <= loss(x) + 1e-6 * target.sum()
+    assert np.abs(a @ r - a @ x).max() <= 1e-4 * target.sum() and np.allclose(a @ r, trace[-1], rtol=1e-6)
+
+
+def test_mixing_stage_edges(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7), (1, "a b", "x", 7), (None, None, "y", 8), (2, "", "y", 9), (3, "word " * 60000, "y", 1)], "doc_id long, text string, lang string, copies int")
+    out = mixing.repeat_to_rates(docs, mixing.labelled_languages(docs, docs.select("doc_id")))
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert {(r.doc_id, r.copies) for r in rows} == {(1, 7), (None, 8), (2, 9), (3, 1)} and sum(r.doc_id == 1 for r in rows) >= 2
+    assert mixing.repeat_to_rates(docs.where("false"), mixing.labelled_languages(docs, docs.select("doc_id"))).collect() == []
+
+
 def test_mixing_meets_targets(spark):
     docs = spark.createDataFrame([(i, ("alpha beta gamma " if i % 3 else "delta epsilon zeta ") * (1 + i % 5), "d0" if i % 3 else "d1") for i in range(300)], "doc_id long, text string, rate string")
     labelled = docs.where("doc_id < 200").selectExpr("doc_id", "rate AS domain")
@@ -277,6 +330,35 @@ def test_near_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (100, 101, 102, 103))
 
 
+def test_recall_of_planted_pairs(spark):
+    """At least 0.9 of pairs planted at cosines from 0.90 to 0.95 among 20,000 vectors, none below 0.9."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(18_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(2_000, 64))
+    side -= (side * x[:2_000]).sum(1, keepdims=True) * x[:2_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.901, 0.95, (2_000, 1))
+    x = np.concatenate([x, c * x[:2_000] + np.sqrt(1 - c * c) * side])
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(df).collect()}
+    linked = [got[18_000 + i].component_id == i for i in range(2_000)]
+    assert len(got) == 20_000 and np.mean(linked) >= 0.9
+    assert sum(r.n_links for r in got.values()) == 2 * sum(linked)
+
+
+def test_vector_edges(spark):
+    """Doubles stay doubles, repeated vec_ids and rows are vectors of their own, ties take the least id."""
+    near = [0.9, float(np.sqrt(1 - 0.81))]  # cosine 0.9 with the first axis, up to rounding
+    rows = [(3, [1.0, 0.0], 1), (3, [1.0, 0.0], 2), (2, [0.0, 1e-200], 3), (5, [0.0, 1e200], 4), (None, [1.0, 0.0], 5), (9, [1.0, 1e-12], 6), (4, [], 7), (8, near, 8), (7, [-1.0, 0.0], 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, component_id int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect())
+    exact = float(np.array(near) @ np.array([1.0, 0.0]) / np.linalg.norm(near)) >= 0.9
+    assert [g for g in got if g[0] not in (3, 8, 9)] == [(0, 0, None), (2, 1, 2), (4, 0, 4), (5, 1, 2), (7, 0, 7)]
+    assert [g[2] for g in got if g[0] in (3, 9)] == [3, 3, 3] and (not exact or [g[2] for g in got if g[0] == 8] == [3])
+    assert embed_dedup.near_vectors(df.where("false")).collect() == []
+
+
 # WARC.
 
 
@@ -300,6 +382,18 @@ def test_audit(spark):
     assert warc.audit(archive, lost).count() == archive.where("segment = 0 and ordinal = 63").count()
 
 
+def test_audit_climbs_levels(spark, monkeypatch):
+    """Many small segments, so that shards have trees of several levels above them; repeated page_ids and an empty archive."""
+    monkeypatch.setattr(warc, "FAN", 3)
+    pages = spark.createDataFrame([(i // 2, "u", "p" * (i % 9), 1) for i in range(400)], "page_id long, url string, html string, shard int")
+    archive = warc.build_archive(pages, 4)
+    broken = archive.withColumn("record", F.when(F.expr("page_id in (7, 150)"), F.lit(b"x")).otherwise(F.col("record")))
+    bad = {(r.shard, r.segment, r.ordinal) for r in warc.audit(archive, broken).collect()}
+    assert bad == {(r.shard, r.segment, r.ordinal) for r in archive.where("page_id in (7, 150)").collect()} and len(bad) == 4
+    none = warc.build_archive(pages.where("false"))
+    assert warc.audit(none, none).collect() == [] and warc.audit_report(none, none).collect() == []
+
+
 # Registration.
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+_MMAP_THRESHOLD, _ARENA_MAX = -3, -8  # fixed values: names of mallopt's parameters
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,12 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    rows = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, min(int(rows), _BATCH_ROWS) if int(rows) > 0 else _BATCH_ROWS)  # texts are long: smaller batches for Python workers
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, rows)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +63,44 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: unless the session has a setting of its own, Python workers get some thousand rows at a time."""
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default
+        spark.conf.set(_BATCH, _BATCH_ROWS)
+
+
+def _libc(name: str, *args: int) -> None:
+    try:
+        getattr(ctypes.CDLL(None), name)(*args)
+    except (AttributeError, OSError):  # another C library: nothing to tune
+        pass
+
+
+def lean(f):
+    """f for mapInArrow or applyInArrow, in a worker that gives memory back: large arrays are unmapped when freed, and the rest is trimmed when f ends."""
+
+    def begin() -> None:
+        _libc("mallopt", _MMAP_THRESHOLD, 1 << 20)
+        _libc("mallopt", _ARENA_MAX, 1)
+
+    def end() -> None:
+        pa.default_memory_pool().release_unused()
+        _libc("malloc_trim", 0)
+
+    def of_batches(batches):
+        begin()
+        yield from f(batches)
+        end()
+
+    def of_table(table: pa.Table) -> pa.Table:
+        begin()
+        out = f(table)
+        end()
+        return out
+
+    return of_table if f.__annotations__.get("table") else of_batches
+
+
 def crc32_mod(column, m: int):
     """crc32 of a key's decimal text, modulo m (the fold rule of the labelled operators)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, small_batches, staged
 
 #: Edits allowed per character; items (normalized) shorter than MIN_CHARS must stand unedited, as words of their own.
 RATE, MIN_CHARS = 0.06, 24
@@ -131,12 +131,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
     never found; null or empty texts hold nothing; repeated rows of documents give repeated rows,
     repeated items count once by item_id. Extra columns are ignored; empty tables are fine.
     """
+    small_batches(docs.sparkSession)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast("array<long>").alias("items"), F.lit(None).cast("long").alias("least_distance"))
     types, names = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64()], ["doc_id", "text", "items", "least_distance"]
     sc = docs.sparkSession.sparkContext
     for n, block in enumerate(_blocks(benchmark)):
         items = sc.broadcast(block)
 
+        @lean
         def run(batches, items=items):
             matcher = Matcher(items.value, rate, min_chars)
             for batch in batches:
@@ -159,12 +161,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
     read whole whatever their length, and further columns may have any names. An empty table gives
     none, an empty benchmark drops nothing.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     at = docs.columns.index("text")
     kept = docs
     for n, block in enumerate(_blocks(benchmark)):
         items = sc.broadcast(block)
 
+        @lean
         def run(batches, items=items):
             matcher = Matcher(items.value, rate, min_chars)
             for batch in batches:

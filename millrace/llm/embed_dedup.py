@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import connected_components, lean, staged
 
 COSINE = 0.9
 #: Pivots: about the square root of the number of distinct vectors within these bounds, chosen from a sample of at most SAMPLE and no two closer than APART.
@@ -36,6 +36,7 @@ def _raw(vectors: DataFrame) -> DataFrame:
     """vec_id, v (bytes: 4 or 8 for the width, then the components as the table has them; null where the vector can't be compared)."""
     wide = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
 
+    @lean
     def run(batches):
         for batch in batches:
             out = []
@@ -74,6 +75,7 @@ def _posted(distinct: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """An entry (list key, rep, times, v, prefix) for each pair of pivots of each vector's prefix."""
     shared = distinct.sparkSession.sparkContext.broadcast(pivots)
 
+    @lean
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
@@ -116,6 +118,7 @@ def _first_meeting(key: int, left: list[bytes], right: list[bytes]) -> np.ndarra
 def _verified(blocks: DataFrame, least: float) -> DataFrame:
     """From each block: (rep, others) with the vectors linked to rep in it, and (rep, root) that spans its components."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         order = np.lexsort([table[c].to_numpy() for c in ("rep", "bj", "bi", "key")])
         key, bi, bj, own, rep, times = (table[c].to_numpy()[order] for c in ("key", "bi", "bj", "own", "rep", "times"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, staged
+from .common import connected_components, lean, small_batches, staged
 from .shingles import shingle_sets
 
 #: Rows of documents that are looked at for frequent shingles, and from how many of them on one counts as frequent. Frequent shingles come last in the order; that changes the cost, never the result.
@@ -30,7 +30,7 @@ ORDER_SAMPLE, FREQUENT = 8_000, 4
 BROADCAST_IDS = 1_000_000
 #: Windows from which on a pivot's region is dealt out by rows; smaller regions are lists of ids. That changes the plan, never the result.
 HOT = 50_000
-_TEXTS, _TEXT_BYTES, _PER_SALT, _BUCKET_ENTRIES, _SEEN = 2_000, 4 << 20, 512, 400_000, 1 << 17
+_TEXTS, _TEXT_BYTES, _PER_SALT, _BUCKET_ENTRIES, _SEEN = 2_000, 4 << 20, 512, 100_000, 1 << 17
 #: Cells with a region of so many members get all their distances to the pivot; the join radius.
 _LARGE, _RADIUS = 256, 0.2
 
@@ -55,6 +55,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     step = max(1, n // ORDER_SAMPLE)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
 
+    @lean
     def emit(batches):
         for batch in _slices(batches):
             (texts,) = _columns(batch, "text")
@@ -64,6 +65,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
                 cut = np.searchsorted(keys >> np.uint64(58), np.arange(65, dtype=np.uint64))
                 yield pa.RecordBatch.from_pydict({"part": pa.array(range(64), pa.int32()), "keys": pa.array([keys[cut[i] : cut[i + 1]].tobytes() for i in range(64)], pa.binary())})
 
+    @lean
     def count(table: pa.Table) -> pa.Table:
         keys, times = np.unique(np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64), return_counts=True)
         keep = times >= FREQUENT
@@ -79,6 +81,7 @@ def _describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(frequent)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("window", pa.binary())])
 
+    @lean
     def run(batches):
         late, seen = common.value, {}
         for batch in _slices(batches):
@@ -131,6 +134,7 @@ def _hot_pivots(described: DataFrame, frequent: np.ndarray, most: int) -> np.nda
     """The frequent shingles that more than `most` windows hold, sorted; at most as many as are looked at."""
     late = described.sparkSession.sparkContext.broadcast(frequent)
 
+    @lean
     def run(batches):
         for batch in batches:
             keys = _entries(batch)[0]
@@ -145,6 +149,7 @@ def _hot_regions(described: DataFrame, hot: np.ndarray) -> tuple[DataFrame, Data
     """The regions of hot pivots by rows: (pairs as _stars has them, members); no region is in one task."""
     some = described.sparkSession.sparkContext.broadcast(hot)
 
+    @lean
     def run(batches):
         for batch in batches:
             keys, doc, table = _entries(batch)
@@ -165,6 +170,7 @@ def _regions(described: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Deal the windows out by pivot, but for hot ones: (bucket, keys, doc index, doc table) blobs."""
     some = described.sparkSession.sparkContext.broadcast(hot)
 
+    @lean
     def run(batches):
         for batch in batches:
             keys, doc, table = _entries(batch)
@@ -193,6 +199,7 @@ def _stars(regions: DataFrame) -> DataFrame:
     names = ("a", "b", "na", "nb", "times", "alone", "members")
     types = (*[pa.int64()] * 6, pa.list_(pa.int64()))
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         keys, ids, s1, n = [], [], [], []
         for k, at, docs in zip(*(table[c].to_pylist() for c in ("keys", "at", "docs")), strict=True):
@@ -224,8 +231,11 @@ def _stars(regions: DataFrame) -> DataFrame:
             m = ids[h : h + s].tobytes()
             groups[m] = groups.get(m, 0) + 1
         k, g = len(pair), len(groups)
-        cols = [[*pair[:, j].tolist(), *[None] * g] for j in range(4)] + [[*times.tolist(), *groups.values()], [*alone.tolist(), *[None] * g], [*[None] * k, *(np.frombuffer(m, np.int64) for m in groups)]]
-        return pa.table({f: pa.array(c, t) for f, c, t in zip(names, cols, types, strict=True)})
+        with_nulls = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(g, pa.int64())])
+        ends = np.cumsum([0, *(len(m) // 8 for m in groups)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(groups), np.int64)))
+        cols = [with_nulls(pair[:, j]) for j in range(4)] + [pa.concat_arrays([pa.array(times.astype(np.int64)), pa.array(list(groups.values()), pa.int64())]), with_nulls(alone), pa.concat_arrays([pa.nulls(k, types[-1]), lists])]
+        return pa.table(dict(zip(names, cols, strict=True)))
 
     return regions.groupBy("bucket").applyInArrow(run, "a long, b long, na long, nb long, times long, alone long, members array<long>")
 
@@ -263,6 +273,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, every: bool = False) -> DataFrame
     rows = dealt.unionByName(heads).join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", (F.col("a") != F.col("b")).alias("later"), "b", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
 
+    @lean
     def run(batches):
         pivot, own = None, None
         for batch in _slices(batches, 500):
@@ -295,6 +306,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     its own links. A null doc_id keeps its row, links with nothing and gets a null component. An empty
     table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = _frequent(docs)
     described = staged(_describe(docs, frequent), "sets")

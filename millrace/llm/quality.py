@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod
+from .common import crc32_mod, lean, small_batches
 from .shingles import _BASE, _BYTE, _INVERSE, _powers, mix
 
 #: Token cells, vector length, entries of an index vector, and tokens to either side that count as context.
@@ -62,6 +62,7 @@ def _tokens(texts: list[str | None]):
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """CELLS x DIM context sums over every text of docs, each row scaled to length one."""
 
+    @lean
     def run(batches):
         total = np.zeros(CELLS * DIM)
         for batch in batches:
@@ -76,6 +77,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         parts = total.astype(np.float32).reshape(_BLOCKS, -1)
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(_BLOCKS), pa.int32()), "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
 
+    @lean
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -156,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityMo
     A fifth of these only calibrates the temperature. Null labels are ignored, of several labels of
     one doc_id the least counts. With no labelled rows every score is one half.
     """
+    small_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y")).where(crc32_mod("doc_id", 5) != 0)
     step = max(1, -(-known.count() // rows))
@@ -163,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityMo
     train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
     shared = train.sparkSession.sparkContext.broadcast(vectors)
 
+    @lean
     def run(batches):
         for batch in batches:
             x = pooled(batch.column(2).to_pylist(), shared.value)
@@ -191,6 +195,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

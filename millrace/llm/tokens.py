@@ -1,7 +1,7 @@
 """Token-ID output: documents encoded, ordered by doc_id and stored as Re-Pair grammar blocks.
 
 A dataset is a folder of Parquet files whose rows are blocks, written with Spark's task commit.
-A block's payload (little-endian) is the whole grammar of some two million ids:
+A block's payload (little-endian) is the whole grammar of some million ids:
 
     magic 4s "RPG2" | id width u8 (2 or 4) | pad 3 | base u32 | rounds u32 | rules u32 | docs u32 | symbols u64
     doc ids i64[docs] | is null u8[docs] | end symbol offset of each document u64[docs] | rules after each round u32[rounds]
@@ -24,18 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage_path
+from .common import lean, small_batches, stage_path
 
 END_ID = 2
 #: Ids of a block, and the least uses of a pair that counts as frequent. Where the vocabulary leaves room in two bytes, the least is raised so far that rules fit there: each takes so many symbols away.
-BLOCK_TOKENS, LEAST_USES = 1 << 21, 32
+BLOCK_TOKENS, LEAST_USES = 1 << 20, 32
 #: A round replaces the pairs that have at least this part of the most frequent one's uses.
 STEP = 1 / 24
 _SPREAD = 18
 _HEAD = struct.Struct("<4sB3xIIIIQ")
 _ENCODERS: dict[str, "Encoder"] = {}
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 #: The table of pieces: sets of two ways, bytes of a piece that fits, and pool entries beyond which it starts anew.
 _SET_BITS, _MOST_BYTES, _POOL = 19, 23, 1 << 22
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -401,10 +401,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     Null doc_ids come first; rows that repeat a doc_id stay, in the order of a hash of their texts.
     Extra columns are ignored. An empty table writes a dataset without blocks.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
+    @lean
     def run(batches):
         shard, block = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer_path)
@@ -441,6 +443,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     w = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("shard", "block", "n_tokens").withColumn("own", F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).join(places, "shard").select("shard", "block", (F.col("before") + F.col("own")).alias("block_start"))
 
+    @lean
     def run(batches):
         for batch in batches:
             for shard, block, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod
+from .common import crc32_mod, lean, small_batches
 
 #: The most labelled rows that the fit looks at, lexical arcs that it keeps, and frequent word beginnings of toxic rows that it weighs for them.
 TRAIN_ROWS, LEXICON, STEMS = 8_000, 500, 30_000
@@ -173,6 +173,7 @@ def _stems(text: str) -> set[str]:
 
 
 def _counted(rows: DataFrame, keep: dict[str, int] | None = None) -> DataFrame:
+    @lean
     def run(batches):
         for batch in batches:
             seen: Counter = Counter()
@@ -205,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
     Labels that are null are ignored; if one doc_id has several, the greatest counts. Without
     labelled rows of both kinds, the seed words alone score.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = known.where(crc32_mod("doc_id", 4) != 2)
     step = max(1, -(-known.count() // rows))
@@ -227,6 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
                         break
         lexicon = train.sparkSession.sparkContext.broadcast(learned)
 
+        @lean
         def run(batches):
             lex = Lexicon(lexicon.value)
             for batch in batches:
@@ -252,6 +255,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         m = shared.value
         lex = Lexicon(m.lexicon)
@@ -274,6 +278,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 
+    @lean
     def run(batches):
         m = model.value
         lex = Lexicon(m.lexicon)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 #: Records of a segment, and children of a node above the segments.
 SEGMENT_RECORDS, FAN = 256, 256
@@ -43,6 +43,7 @@ def build_archive(pages: DataFrame, segment_records: int = SEGMENT_RECORDS) -> D
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     rows = rows.withColumn("tie", F.xxhash64("record")).repartitionByRange("page_id", "tie").sortWithinPartitions("page_id", "tie").drop("tie")
 
+    @lean
     def run(batches):
         shard, n, offset = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
@@ -95,6 +96,7 @@ def segment_trees(replica: DataFrame) -> DataFrame:
     """shard, segment, root, leaves (32 bytes each in a row) of a table with (shard, segment, ordinal, offset, length, record)."""
     rows = replica.select("shard", "segment", "ordinal", "offset", "length", F.sha2("record", 256).alias("digest"))
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by([("shard", "ascending"), ("segment", "ascending"), ("ordinal", "ascending")])
         by: dict[tuple[int, int], list[bytes]] = {}
@@ -136,6 +138,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     x, y = (t.join(bad, ["shard", "segment"], "left_semi") for t in (a, b))
     both = x.select("shard", "segment", F.col("leaves").alias("a")).join(y.select("shard", "segment", F.col("leaves").alias("b")), ["shard", "segment"], "full")
 
+    @lean
     def run(batches):
         for batch in batches:
             out = []

@@ -30,6 +30,8 @@ ORDER_SAMPLE, FREQUENT = 8_000, 4
 BROADCAST_IDS = 1_000_000
 #: Windows from which on a pivot's region is dealt out by rows; smaller regions are lists of ids. That changes the plan, never the result.
 HOT = 50_000
+#: Copies from which on a set may be hot: so it is where it also has a thousandth of all documents.
+HOT_COPIES = 1_000
 _TEXTS, _TEXT_BYTES, _PER_SALT, _BUCKET_ENTRIES, _SEEN = 2_000, 4 << 20, 512, 100_000, 1 << 17
 #: Cells with a region of so many members get all their distances to the pivot; the join radius.
 _LARGE, _RADIUS = 256, 0.2
@@ -146,7 +148,7 @@ def _hot_pivots(described: DataFrame, frequent: np.ndarray, most: int) -> np.nda
 
 
 def _hot_regions(described: DataFrame, hot: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """The regions of hot pivots by rows: (pairs as _stars has them, members); no region is in one task."""
+    """The regions of hot pivots by rows: (pairs as _stars has them, members as _members has them); no region is in one task."""
     some = described.sparkSession.sparkContext.broadcast(hot)
 
     @lean
@@ -161,8 +163,9 @@ def _hot_regions(described: DataFrame, hot: np.ndarray) -> tuple[DataFrame, Data
     rows = staged(rows.groupBy("key", "s1", "n").agg(F.min("id").alias("id")), "hot")  # of equal sets the least id stands for all
     heads = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size"))
     dealt = rows.join(F.broadcast(heads), "key")  # a row a hot pivot
-    pairs = dealt.where("id <> p.id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.lit(1).cast("long").alias("times"), (F.col("size") == 2).cast("long").alias("alone"))
-    members = dealt.where("size > 2").select(F.xxhash64(F.lit("hot"), "key").alias("region"), F.lit(1).cast("long").alias("times"), F.col("p.id").alias("pivot"), F.col("size").cast("int").alias("size"), "id")
+    once = F.lit(1).cast("long").alias("times")
+    pairs = dealt.where("size = 2 and id <> p.id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), once)
+    members = dealt.where("size > 2").select(F.xxhash64(F.lit("hot"), "key").alias("region"), once, F.col("p.id").alias("pivot"), F.col("p.n").alias("n_pivot"), F.col("size").cast("int").alias("size"), "id", "n")
     return pairs, members
 
 
@@ -191,13 +194,10 @@ def _regions(described: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 
 
 def _stars(regions: DataFrame) -> DataFrame:
-    """From each region its pivot (least document) with each other member, and regions of three or more as id lists.
+    """Regions of two as pairs (a < b) and larger ones as lists of ids, ascending, and set sizes; equal ones in a bucket are one row.
 
-    a is null in rows that hold a region's members; times is the number of shared pivots, alone that of
-    those which no other set shares.
+    a is null in rows that hold a region's members; times is the number of pivots that have the region.
     """
-    names = ("a", "b", "na", "nb", "times", "alone", "members")
-    types = (*[pa.int64()] * 6, pa.list_(pa.int64()))
 
     @lean
     def run(table: pa.Table) -> pa.Table:
@@ -221,23 +221,31 @@ def _stars(regions: DataFrame) -> DataFrame:
             keys, ids, n = keys[order], ids[order], n[order]
         head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
         size = np.diff(np.r_[head, len(keys)])
-        pivot = np.repeat(head, size)
-        other = np.flatnonzero(pivot != np.arange(len(keys)))
-        pair = np.stack((ids[pivot[other]], ids[other], n[pivot[other]], n[other]), 1) if len(other) else np.empty((0, 4), np.int64)
-        pair, which, times = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
-        alone = np.bincount(which.ravel(), weights=np.repeat(size, size)[other] == 2, minlength=len(pair)).astype(np.int64)
-        groups: dict[bytes, int] = {}
+        two = head[size == 2]
+        pair, times = np.unique(np.stack((ids[two], ids[two + 1], n[two], n[two + 1]), 1) if len(two) else np.empty((0, 4), np.int64), axis=0, return_counts=True)
+        groups: dict[tuple[bytes, bytes], int] = {}
         for h, s in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            m = ids[h : h + s].tobytes()
+            m = (ids[h : h + s].tobytes(), n[h : h + s].tobytes())
             groups[m] = groups.get(m, 0) + 1
         k, g = len(pair), len(groups)
         with_nulls = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(g, pa.int64())])
-        ends = np.cumsum([0, *(len(m) // 8 for m in groups)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(groups), np.int64)))
-        cols = [with_nulls(pair[:, j]) for j in range(4)] + [pa.concat_arrays([pa.array(times.astype(np.int64)), pa.array(list(groups.values()), pa.int64())]), with_nulls(alone), pa.concat_arrays([pa.nulls(k, types[-1]), lists])]
-        return pa.table(dict(zip(names, cols, strict=True)))
+        ends = pa.array(np.cumsum([0, *(len(m) // 8 for m, _ in groups)]).astype(np.int32))
+        cols = {c: with_nulls(pair[:, j]) for j, c in enumerate(("a", "b", "na", "nb"))}
+        cols["times"] = pa.concat_arrays([pa.array(times.astype(np.int64)), pa.array(list(groups.values()), pa.int64())])
+        for j, c in enumerate(("members", "sizes")):
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(m[j] for m in groups), np.int64)))
+            cols[c] = pa.concat_arrays([pa.nulls(k, pa.list_(pa.int64())), lists])
+        return pa.table(cols)
 
-    return regions.groupBy("bucket").applyInArrow(run, "a long, b long, na long, nb long, times long, alone long, members array<long>")
+    return regions.groupBy("bucket").applyInArrow(run, "a long, b long, na long, nb long, times long, members array<long>, sizes array<long>")
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """A row for each member of each region of three or more: region, times, pivot, n_pivot, size, id, n. Rows carry what is known of their region, so no table is joined on the region alone."""
+    regions = staged(found.where("a is null").groupBy("members", "sizes").agg(F.sum("times").alias("times")), "regions")
+    each = F.explode(F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("n"))).alias("m")
+    rows = regions.select(F.xxhash64("members").alias("region"), "times", F.col("members")[0].alias("pivot"), F.col("sizes")[0].alias("n_pivot"), F.size("members").alias("size"), each)
+    return rows.select("region", "times", "pivot", "n_pivot", "size", "m.id", "m.n")
 
 
 def _worth(na: str = "na", nb: str = "nb", times="times"):
@@ -328,13 +336,13 @@ def _components(docs: DataFrame, frequent: np.ndarray, described: DataFrame | No
     hot = _hot_pivots(described, frequent, HOT) if n_windows > HOT else np.empty(0, np.uint64)
     buckets = max(8, -(-(entries // 8) // _BUCKET_ENTRIES))
     found = staged(_stars(_regions(described, buckets, hot)), "stars")
-    pairs = found.where("a is not null").select("a", "b", "na", "nb", "times", "alone")
-    # Regions of three or more. Their rows carry their pivot and size, so no table is joined on the region alone.
-    regions = found.where("a is null").groupBy("members").agg(F.sum("times").alias("times"))
-    member = regions.select(F.xxhash64("members").alias("region"), "times", F.col("members")[0].alias("pivot"), F.size("members").alias("size"), F.explode("members").alias("id"))
+    pairs, member = found.where("a is not null").select("a", "b", "na", "nb", "times"), _members(found)
     if len(hot):
         more_pairs, more_members = _hot_regions(described, hot)
         pairs, member = pairs.unionByName(more_pairs), member.unionByName(more_members)
+    # Each region's pivot (least document) with each other member; times is the number of shared pivots, alone that of those which no other set shares.
+    pairs = pairs.withColumn("alone", F.col("times"))
+    pairs = pairs.unionByName(member.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("n_pivot").alias("na"), F.col("n").alias("nb"), "times", F.lit(0).cast("long").alias("alone")))
     stars = staged(pairs.groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times"), F.sum("alone").alias("alone")), "pairs")
     links = staged(_verify(docs, stars.where(_worth()).select("a", "b")), "links")
     cells = staged(connected_components(links), "cells")
@@ -376,9 +384,22 @@ def _components(docs: DataFrame, frequent: np.ndarray, described: DataFrame | No
     pairs = pairs.unionByName(rest).groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times")).where(_worth())
     more = _verify(docs, staged(pairs.select("a", "b"), "pairs"))
     final = staged(connected_components(links.select("a", "b").unionByName(more.select("a", "b"))), "cells")
-    same = described.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("least"))
-    joined = described.select("doc_id", "n", "s1", "s2").join(same, ["n", "s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least"))
-    return joined.join(final, F.col("least") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "least").alias("component_id"))
+    return _spread(described, final)
+
+
+def _spread(described: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, from the components of the least document of each set."""
+    key, out = ["n", "s1", "s2"], ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    full = described.where("n > 0 and doc_id is not null").select("doc_id", *key)
+    sets = full.groupBy(*key).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    sets = staged(sets.join(cells, F.col("least") == F.col("id"), "left").select(*key, "copies", F.coalesce("component", "least").alias("component_id")), "cells")
+    # Sets of very many copies, a thousand at most, are joined by broadcast.
+    every = sets.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(sets.where(F.col("copies") >= max(HOT_COPIES, every // 1_000)).drop("copies"))
+    sets = sets.drop("copies")
+    linked = full.join(sets, key) if hot.isEmpty() else full.join(hot, key).unionByName(full.join(hot, key, "left_anti").join(sets, key))
+    alone = described.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return linked.select(*out).unionByName(alone.select(*out))
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:

@@ -65,6 +65,7 @@ def test_families_match_brute_force(spark):
 
 def test_hot_regions_by_rows_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 6)
+    monkeypatch.setattr(jaccard, "HOT_COPIES", 3)
     monkeypatch.setattr(jaccard, "_PER_SALT", 4)
     monkeypatch.setattr(jaccard, "_LARGE", 5)
     rng, texts = random.Random(9), families(3)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def as_column(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
@@ -49,12 +51,13 @@ def with_row_index(df: DataFrame, name: str = "index", offset: int = 0, order_by
     """Consecutive numbers in the order's (or the input's) sequence, without gathering rows in one task.
 
     Rows are numbered in their partition and shifted by the sizes of those before, one number a
-    partition.
+    partition. Both come from one staged table: a second run of a range partitioning may deal rows
+    otherwise.
     """
     ordered = sort(df, order_by) if order_by is not None else df
     if order_by is not None:
         ordered = df.repartitionByRange(*ordering(order_by)).sortWithinPartitions(*ordering(order_by))
-    tagged = ordered.withColumn("_id", F.monotonically_increasing_id())
+    tagged = staged(ordered.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_id", 33).cast("int")
     sizes = sorted((r.p, r.n) for r in tagged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     before, shifts = 0, {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -26,7 +28,6 @@ RULES = lambda: quality.Rules().not_null("o_custkey").in_range("o_totalprice", 1
 GOOD = "o_custkey IS NOT NULL AND o_totalprice BETWEEN 1000 AND 400000 AND o_orderstatus IN ('F', 'O') AND regexp_matches(o_orderpriority, '^[1-3]-')"
 EDGES = "SELECT l_suppkey AS src, l_partkey + 100000 AS dst FROM lineitem"
 ITEMS = "SELECT l_suppkey::BIGINT AS src, l_partkey::BIGINT AS dst FROM lineitem"
-SMALL = "SELECT c_nationkey AS src, (c_custkey % 40)::INTEGER AS dst FROM customer"
 
 
 def _bipartite(l):
@@ -38,15 +39,8 @@ def _items(l):
     return l.select(c("l_suppkey").cast("long").alias("src"), c("l_partkey").cast("long").alias("dst"))
 
 
-def _small(t):
-    """The folded graph that the SQL of graph_triangles and graph_bfs reads."""
-    return t.select(c("c_nationkey").cast("long").alias("src"), (c("c_custkey") % 40).alias("dst"))
-
-
-DNA = "upper(translate(regexp_replace(lower(left(text, 120)), '[^aeio]', '', 'g'), 'aeio', 'ACGT'))"
-
+DNA = "upper(translate(regexp_replace(lower(text), '[^aeio]', '', 'g'), 'aeio', 'ACGT'))"
 
-DNA_WHOLE = DNA.replace("left(text, 120)", "text")
 
 
 def dna(text=None):
@@ -54,12 +48,6 @@ def dna(text=None):
     return F.upper(F.translate(F.regexp_replace(F.lower(c("text") if text is None else text), "[^aeio]", ""), "aeio", "ACGT"))
 
 
-def dna_120():
-    """The prefix that the SQL of the four queries without _whole reads."""
-    return dna(F.left("text", F.lit(120)))
-
-
-
 for name, sql, tables, f in [
     ("dq_validate", f"SELECT * FROM (VALUES ('o_custkey not null', (SELECT count(*) FROM orders WHERE o_custkey IS NULL), (SELECT count(*) FROM orders)), ('o_totalprice in range', (SELECT count(*) FROM orders WHERE NOT o_totalprice BETWEEN 1000 AND 400000), (SELECT count(*) FROM orders)), ('o_orderstatus accepted', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')), (SELECT count(*) FROM orders)), ('o_orderpriority matches', (SELECT count(*) FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-3]-')), (SELECT count(*) FROM orders))) t(rule, failed, total)", "orders", lambda o: RULES().validate(o)),
     ("dq_pass", f"SELECT o_orderkey FROM orders WHERE {GOOD}", "orders", lambda o: RULES().split(o)[0].select("o_orderkey")),
@@ -73,22 +61,16 @@ for name, sql, tables, f in [
     ("cdc_diff", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'delete' WHEN s_suppkey % 5 = 1 THEN 'update' END AS change FROM supplier WHERE s_suppkey % 5 < 2", "supplier", lambda s: merge.diff(s.select("s_suppkey", "s_acctbal"), s.where("s_suppkey % 5 <> 0").select("s_suppkey", F.when(c("s_suppkey") % 5 == 1, c("s_acctbal") + 1).otherwise(c("s_acctbal")).alias("s_acctbal")), ["s_suppkey"])),
     ("scd2", "SELECT s_suppkey, s_acctbal, 1 AS valid_from, CASE WHEN s_suppkey % 5 < 2 THEN 2 END AS valid_to, s_suppkey % 5 >= 2 AS is_current FROM supplier UNION ALL SELECT s_suppkey, s_acctbal + 1, 2, NULL, true FROM supplier WHERE s_suppkey % 5 = 1", "supplier", lambda s: merge.scd2(s.select("s_suppkey", "s_acctbal", F.lit(1).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"), F.lit(True).alias("is_current")), s.where("s_suppkey % 5 <> 0").select("s_suppkey", F.when(c("s_suppkey") % 5 == 1, c("s_acctbal") + 1).otherwise(c("s_acctbal")).alias("s_acctbal")), ["s_suppkey"], F.lit(2))),
     ("graph_degrees", f"SELECT id, count(*) FILTER (d = 'i') AS in_degree, count(*) FILTER (d = 'o') AS out_degree, count(*) AS degree FROM (SELECT src AS id, 'o' AS d FROM ({EDGES}) UNION ALL SELECT dst, 'i' FROM ({EDGES})) GROUP BY 1", "lineitem", lambda l: graph.degrees(_bipartite(l))),
-    ("graph_triangles", f"WITH e AS (SELECT DISTINCT least(src, dst)::BIGINT AS a, greatest(src, dst)::BIGINT AS b FROM ({SMALL}) WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1", "customer", lambda t: graph.triangles(_small(t))),
-    ("graph_bfs", f"WITH RECURSIVE e AS (SELECT DISTINCT src::BIGINT AS src, dst::BIGINT AS dst FROM ({SMALL})), p(id, d) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, p.d + 1 FROM p JOIN e ON e.src = p.id WHERE p.d < 8) SELECT id, min(d) AS distance FROM p GROUP BY 1", "customer", lambda t: graph.bfs(_small(t).distinct(), 0)),
-    ("graph_triangles_whole", f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({ITEMS}) WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1", "lineitem", lambda l: graph.triangles(_items(l))),
-    ("graph_bfs_whole", f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({ITEMS})), p(id, d) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, p.d + 1 FROM p JOIN e ON e.src = p.id WHERE p.d < 20) SELECT id, min(d) AS distance FROM p GROUP BY 1", "lineitem", lambda l: graph.bfs(_items(l).distinct(), 1)),
+    ("graph_triangles", f"WITH e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({ITEMS}) WHERE src <> dst), t AS (SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) SELECT id, count(*) AS triangles FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1", "lineitem", lambda l: graph.triangles(_items(l))),
+    ("graph_bfs", f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({ITEMS})), p(id, d) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, p.d + 1 FROM p JOIN e ON e.src = p.id WHERE p.d < 20) SELECT id, min(d) AS distance FROM p GROUP BY 1", "lineitem", lambda l: graph.bfs(_items(l).distinct(), 1)),
     ("graph_pagerank", None, "lineitem", lambda l: graph.pagerank(_items(l).distinct(), 5)),
     ("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL", "events", lambda e: st.windowed(e, "ts", "1 hour", [F.count("*").alias("n")], ["event_type"])),
     ("stream_sessions", "SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 3 HOUR THEN 1 ELSE 0 END AS f FROM events)) GROUP BY user_id, s", "events", lambda e: st.session_windows(e, "ts", "3 hours", [F.count("*").alias("n")], ["user_id"])),
     ("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events", "events", lambda e: st.deduplicated(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type")),
-    ("seq_reverse_complement", f"SELECT doc_id, reverse(translate({DNA}, 'ACGT', 'TGCA')) AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.reverse_complement(dna_120()).alias("value"))),
-    ("seq_gc_content", f"SELECT doc_id, round(len(regexp_extract_all({DNA}, '[GC]')) / nullif(length({DNA}), 0)::DOUBLE, 6) AS value FROM documents", "documents", lambda d: d.select("doc_id", r(Q.gc_content(dna_120())).alias("value"))),
-    ("seq_transcribe", f"SELECT doc_id, replace({DNA}, 'T', 'U') AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.transcribe(dna_120()).alias("value"))),
-    ("seq_kmers", f"SELECT doc_id, array_to_string([substr({DNA}, i, 4) FOR i IN range(1, length({DNA}) - 2)], ',') AS value FROM documents", "documents", lambda d: d.select("doc_id", F.array_join(Q.kmers(dna_120(), 4), ",").alias("value"))),
-    ("seq_reverse_complement_whole", f"SELECT doc_id, reverse(translate({DNA_WHOLE}, 'ACGT', 'TGCA')) AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.reverse_complement(dna()).alias("value"))),
-    ("seq_gc_content_whole", f"SELECT doc_id, round(len(regexp_extract_all({DNA_WHOLE}, '[GC]')) / nullif(length({DNA_WHOLE}), 0)::DOUBLE, 6) AS value FROM documents", "documents", lambda d: d.select("doc_id", r(Q.gc_content(dna())).alias("value"))),
-    ("seq_transcribe_whole", f"SELECT doc_id, replace({DNA_WHOLE}, 'T', 'U') AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.transcribe(dna()).alias("value"))),
-    ("seq_kmers_whole", f"SELECT doc_id, array_to_string([substr(d, i, 4) FOR i IN range(1, length(d) - 2)], ',') AS value FROM (SELECT doc_id, {DNA_WHOLE} AS d FROM documents)", "documents", lambda d: d.select("doc_id", F.array_join(Q.kmers(dna(), 4), ",").alias("value"))),
+    ("seq_reverse_complement", f"SELECT doc_id, reverse(translate({DNA}, 'ACGT', 'TGCA')) AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.reverse_complement(dna()).alias("value"))),
+    ("seq_gc_content", f"SELECT doc_id, round(len(regexp_extract_all({DNA}, '[GC]')) / nullif(length({DNA}), 0)::DOUBLE, 6) AS value FROM documents", "documents", lambda d: d.select("doc_id", r(Q.gc_content(dna())).alias("value"))),
+    ("seq_transcribe", f"SELECT doc_id, replace({DNA}, 'T', 'U') AS value FROM documents", "documents", lambda d: d.select("doc_id", Q.transcribe(dna()).alias("value"))),
+    ("seq_kmers", f"SELECT doc_id, array_to_string([substr(d, i, 4) FOR i IN range(1, length(d) - 2)], ',') AS value FROM (SELECT doc_id, {DNA} AS d FROM documents)", "documents", lambda d: d.select("doc_id", F.array_join(Q.kmers(dna(), 4), ",").alias("value"))),
     ("seq_translate", None, "documents", lambda d: d.select("doc_id", Q.translate(dna()).alias("value"))),
     ("geo_distance", "SELECT c_custkey, round(sqrt(pow(c_acctbal - 100, 2) + pow(c_nationkey - 7, 2)), 6) AS value FROM customer", "customer", lambda t: t.select("c_custkey", r(G.distance(G.point(c("c_acctbal"), c("c_nationkey")), G.point(F.lit(100), F.lit(7)))).alias("value"))),
     ("geo_area", "SELECT c_custkey, round(abs(c_acctbal) * (c_nationkey + 1), 4) AS value FROM customer", "customer", lambda t: t.select("c_custkey", r(G.area(G.box(G.point(F.lit(0), F.lit(0)), G.point(c("c_acctbal"), c("c_nationkey") + 1))), 4).alias("value"))),
@@ -97,8 +79,7 @@ for name, sql, tables, f in [
     ("geo_geohash", None, "customer", lambda t: t.select("c_custkey", G.geohash(c("c_acctbal") % 180, c("c_nationkey") * 3.0).alias("value"))),
     ("metric_classification", "SELECT round(avg((y = p)::INTEGER), 6) AS accuracy, round(count(*) FILTER (y = 1 AND p = 1) / count(*) FILTER (p = 1), 6) AS precision, round(count(*) FILTER (y = 1 AND p = 1) / count(*) FILTER (y = 1), 6) AS recall, round(2 * count(*) FILTER (y = 1 AND p = 1) / (count(*) FILTER (y = 1) + count(*) FILTER (p = 1)), 6) AS f1 FROM (SELECT (l_tax > 0.03)::INTEGER AS y, (l_discount > 0.04)::INTEGER AS p FROM lineitem)", "lineitem", lambda l: l.select((c("l_tax") > 0.03).cast("int").alias("y"), (c("l_discount") > 0.04).cast("int").alias("p")).agg(*(r(m(c("y"), c("p"))).alias(m.__name__) for m in (M.accuracy, M.precision, M.recall, M.f1)))),
     ("metric_regression", "SELECT round(avg(abs(l_tax - l_discount)), 6) AS mae, round(avg(pow(l_tax - l_discount, 2)), 6) AS mse, round(sqrt(avg(pow(l_tax - l_discount, 2))), 6) AS rmse FROM lineitem", "lineitem", lambda l: l.agg(*(r(m(c("l_tax"), c("l_discount"))).alias(m.__name__) for m in (M.mae, M.mse, M.rmse)))),
-    ("metric_roc_auc", "SELECT round(sum((x.y = 1 AND z.y = 0 AND x.q > z.q)::INTEGER + 0.5 * (x.y = 1 AND z.y = 0 AND x.q = z.q)::INTEGER) / (count(DISTINCT x.k) FILTER (x.y = 1) * count(DISTINCT z.k) FILTER (z.y = 0)), 6) AS auc FROM (SELECT p_partkey AS k, (p_size > 25)::INTEGER AS y, p_retailprice AS q FROM part WHERE p_partkey < 150) x, (SELECT p_partkey AS k, (p_size > 25)::INTEGER AS y, p_retailprice AS q FROM part WHERE p_partkey < 150) z", "part", lambda p: M.roc_auc(p.where("p_partkey < 150").select((c("p_size") > 25).cast("int").alias("y"), c("p_retailprice").alias("q")), "y", "q").withColumn("auc", r(c("auc")))),
-    ("metric_roc_auc_whole", "SELECT round((sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM (SELECT y, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2 AS k FROM (SELECT (p_size > 25)::INTEGER AS y, p_retailprice AS q FROM part))", "part", lambda p: M.roc_auc(p.select((c("p_size") > 25).cast("int").alias("y"), c("p_retailprice").alias("q")), "y", "q").withColumn("auc", r(c("auc")))),
+    ("metric_roc_auc", "SELECT round((sum(k) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc FROM (SELECT y, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2 AS k FROM (SELECT (p_size > 25)::INTEGER AS y, p_retailprice AS q FROM part))", "part", lambda p: M.roc_auc(p.select((c("p_size") > 25).cast("int").alias("y"), c("p_retailprice").alias("q")), "y", "q").withColumn("auc", r(c("auc")))),
     ("sql_qualify", "SELECT event_id, user_id FROM events WHERE event_type <> 'x' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1", "events", lambda e: dialect_sql(e.sparkSession, "SELECT event_id, user_id FROM {events} WHERE event_type <> 'x' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1", events=e)),
     ("sql_distinct_on", "SELECT DISTINCT ON (user_id) user_id, event_id FROM events ORDER BY user_id, value DESC, event_id", "events", lambda e: dialect_sql(e.sparkSession, "SELECT DISTINCT ON (user_id) user_id, event_id FROM {events} ORDER BY user_id, value DESC, event_id", events=e)),
 ]:
@@ -128,10 +109,9 @@ def target_encode(spark, sf_dir):
 
 
 for _n, _pattern in M.TEXT_RATES.items():
-    if "\\u" not in _pattern and "'" not in _pattern and "\\b" not in _pattern:  # word boundaries differ between the dialects
-        query(f"metric_{_n}", f"SELECT lang, round(avg(regexp_matches(text, '{_pattern}')::INTEGER), 6) AS value FROM documents GROUP BY 1", "documents")(lambda d, n=_n: d.groupBy("lang").agg(r(M.text_rate(n, c("text"))).alias("value")))
-    else:
-        query(f"metric_{_n}", None, "documents")(lambda d, n=_n: d.groupBy("lang").agg(r(M.text_rate(n, c("text"))).alias("value")))
+    _said = _pattern.replace("'", "''").replace("\\u", "\\x")
+    _said = re.sub(r"\\x([0-9a-f]{4})", r"\\x{\1}", _said)  # the notation that both dialects have for code points
+    query(f"metric_{_n}", f"SELECT lang, round(avg(regexp_matches(text, '{_said}')::INTEGER), 6) AS value FROM documents GROUP BY 1", "documents")(lambda d, n=_n: d.groupBy("lang").agg(r(M.text_rate(n, c("text"))).alias("value")))
 
 _Y, _P = "(l_tax + 0.1)", "(l_discount + 0.2)"
 for _m, _sql in [

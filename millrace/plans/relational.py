@@ -66,8 +66,7 @@ for name, sql, tables, f in [
     ("intersect_all", "SELECT s_nationkey AS k FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer", "supplier customer", lambda s, t: s.select(c("s_nationkey").alias("k")).intersectAll(t.select("c_nationkey"))),
     ("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", "customer orders", lambda t, o: t.select(c("c_custkey").alias("k")).subtract(o.select("o_custkey"))),
     ("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "customer supplier", lambda t, s: t.select(c("c_nationkey").alias("k")).exceptAll(s.select("s_nationkey"))),
-    ("explode", "SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split(left(text, 60), ' ')) AS w FROM documents)", "documents", lambda d: R.explode(d.select("doc_id", F.split(F.left("text", F.lit(60)), " ").alias("w")), "w")),
-    ("explode_whole", "SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)", "documents", lambda d: R.explode(d.select("doc_id", F.split("text", " ", -1).alias("w")), "w")),
+    ("explode", "SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)", "documents", lambda d: R.explode(d.select("doc_id", F.split("text", " ", -1).alias("w")), "w")),
     ("explode_index", "SELECT vec_id, i::INTEGER AS i, v FROM (SELECT vec_id, unnest(range(0, 4)) AS i, unnest(embedding[1:4]) AS v FROM embeddings)", "embeddings", lambda d: R.explode(d.select("vec_id", F.slice("embedding", 1, 4).alias("v")), "v", index="i")),
     ("unpivot", "SELECT l_orderkey, l_linenumber, variable, value FROM (SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem) UNPIVOT (value FOR variable IN (l_tax, l_discount))", "lineitem", lambda l: R.unpivot(l, ["l_orderkey", "l_linenumber"], ["l_tax", "l_discount"])),
     ("pivot", "SELECT l_linestatus, sum(l_quantity) FILTER (l_returnflag = 'A') AS \"A\", sum(l_quantity) FILTER (l_returnflag = 'N') AS \"N\", sum(l_quantity) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY 1", "lineitem", lambda l: R.pivot(l, ["l_linestatus"], "l_returnflag", F.sum("l_quantity"), ["A", "N", "R"])),
@@ -96,8 +95,7 @@ for name, sql, tables, f in [
     ("inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "orders customer", lambda o, t: o.join(t, c("o_custkey") == c("c_custkey")).select("o_orderkey", "c_name")),
     ("left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey", "customer orders", lambda t, o: t.join(o, c("o_custkey") == c("c_custkey"), "left").select("c_custkey", "o_orderkey")),
     ("right", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey", "orders customer", lambda o, t: o.join(t, c("o_custkey") == c("c_custkey"), "right").select("c_custkey", "o_orderkey")),
-    ("full", "SELECT k, s_suppkey, c_custkey FROM (SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_nationkey < 15) FULL JOIN (SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey > 10 AND c_custkey < 100) USING (k)", "supplier customer", lambda s, t: R.join(s.where("s_nationkey < 15").select(c("s_nationkey").alias("k"), "s_suppkey"), t.where("c_nationkey > 10 AND c_custkey < 100").select(c("c_nationkey").alias("k"), "c_custkey"), "k", "full")),
-    ("full_whole", "SELECT k, s_suppkey, c_custkey FROM (SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_nationkey < 15) FULL JOIN (SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey > 10) USING (k)", "supplier customer", lambda s, t: R.join(s.where("s_nationkey < 15").select(c("s_nationkey").alias("k"), "s_suppkey"), t.where("c_nationkey > 10").select(c("c_nationkey").alias("k"), "c_custkey"), "k", "full")),
+    ("full", "SELECT k, s_suppkey, c_custkey FROM (SELECT s_nationkey AS k, s_suppkey FROM supplier WHERE s_nationkey < 15) FULL JOIN (SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey > 10) USING (k)", "supplier customer", lambda s, t: R.join(s.where("s_nationkey < 15").select(c("s_nationkey").alias("k"), "s_suppkey"), t.where("c_nationkey > 10").select(c("c_nationkey").alias("k"), "c_custkey"), "k", "full")),
     ("semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer orders", lambda t, o: t.join(o.where("o_totalprice > 400000"), c("o_custkey") == c("c_custkey"), "left_semi").select("c_custkey")),
     ("anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer orders", lambda t, o: t.join(o.where("o_totalprice > 400000"), c("o_custkey") == c("c_custkey"), "left_anti").select("c_custkey")),
     ("cross", "SELECT r_name, n_name FROM region, nation", "region nation", lambda g, n: g.crossJoin(n).select("r_name", "n_name")),

@@ -203,7 +203,6 @@ family("str", "documents", "doc_id", [
     ("duplicate_line_ratio", lambda: r(T.duplicate_line_ratio(t())), f"round(1 - len(list_distinct({LINES})) / len({LINES})::DOUBLE, 6)"),
     ("duplicate_ngram_ratio", lambda: r(T.duplicate_ngram_ratio(t(), 2)), None),
     ("top_ngram_ratio", lambda: r(T.top_ngram_ratio(t(), 1)), f"round(list_max(map_values(list_histogram({W}))) / len({W})::DOUBLE, 6)"),
-    ("char_entropy", lambda: r(T.char_entropy(F.left(t(), F.lit(200))), 4), "round(list_aggregate(string_split(left(text, 200), ''), 'entropy'), 4)"),
     ("token_ngrams", lambda: F.size(T.token_ngrams(t(), 3)), f"greatest(len({W}) - 2, 0)::INTEGER"),
     ("capitalize", lambda: T.capitalize(t()), "upper(left(text, 1)) || lower(substr(text, 2))"),
     ("first_word", lambda: T.first_word(t()), f"{W}[1]"),
@@ -254,7 +253,6 @@ family("str", "documents", "doc_id", [
     ("regexp_replace", lambda: T.regexp_replace_first(t(), "th([ae])", "TH$1"), r"regexp_replace(text, 'th([ae])', 'TH\1')"),
     ("regexp_replace_all", lambda: F.regexp_replace(t(), "th([ae])", "TH$1"), r"regexp_replace(text, 'th([ae])', 'TH\1', 'g')"),
     ("regexp_split", lambda: F.size(F.split(t(), "[,.]", -1)), "len(regexp_split_to_array(text, '[,.]'))::INTEGER"),
-    ("regexp_escape", lambda: T.regexp_escape(F.left(t(), F.lit(80))), r"regexp_replace(left(text, 80), '([\\.^$|?*+()\[\]{}])', '\\\1', 'g')"),
     ("left", lambda: F.left(t(), F.lit(7)), "left(text, 7)"),
     ("right", lambda: F.right(t(), F.lit(7)), "right(text, 7)"),
     ("slice", lambda: F.substring(t(), 3, 5), "substr(text, 3, 5)"),
@@ -311,17 +309,14 @@ family("str", "documents", "doc_id", [
     ("truncate_middle", lambda: T.truncate_middle(t(), 10), "CASE WHEN length(text) <= 40 THEN text ELSE left(text, 19) || '...' || right(text, 18) END"),
     ("chunk", lambda: F.size(T.chunks(t(), 200, 50)), "greatest(ceil((length(text) - 50) / 150.0), 1)::INTEGER"),
     ("mask", lambda: T.mask(F.left(t(), F.lit(12)), "*", 2, 2), "CASE WHEN length(left(text, 12)) <= 4 THEN repeat('*', length(left(text, 12))) ELSE left(text, 2) || repeat('*', length(left(text, 12)) - 4) || right(left(text, 12), 2) END"),
-    ("slugify", lambda: T.slugify(F.left(t(), F.lit(40))), "trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '-')"),
-    ("to_snake_case", lambda: T.snake_case(F.left(t(), F.lit(40))), r"trim(regexp_replace(lower(regexp_replace(left(text, 40), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+', '_', 'g'), '_')"),
     ("minhash", lambda: F.array_join(T.minhash(t(), 8), ","), None),
 ])
 
-# The SQL of these names above reads a prefix of the text; here are the same functions on whole texts.
 family("str", "documents", "doc_id", [
-    ("char_entropy_whole", lambda: r(T.char_entropy(t()), 4), "round(list_aggregate(string_split(text, ''), 'entropy'), 4)"),
-    ("regexp_escape_whole", lambda: T.regexp_escape(t()), r"regexp_replace(text, '([\\.^$|?*+()\[\]{}])', '\\\1', 'g')"),
-    ("slugify_whole", lambda: T.slugify(t()), "trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')"),
-    ("to_snake_case_whole", lambda: T.snake_case(t()), r"trim(regexp_replace(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+', '_', 'g'), '_')"),
+    ("char_entropy", lambda: r(T.char_entropy(t()), 4), "round(list_aggregate(string_split(text, ''), 'entropy'), 4)"),
+    ("regexp_escape", lambda: T.regexp_escape(t()), r"regexp_replace(text, '([\\.^$|?*+()\[\]{}])', '\\\1', 'g')"),
+    ("slugify", lambda: T.slugify(t()), "trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')"),
+    ("to_snake_case", lambda: T.snake_case(t()), r"trim(regexp_replace(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+', '_', 'g'), '_')"),
 ])
 
 family("str_html", "pages", "page_id", [

@@ -39,13 +39,13 @@ def test_translate_and_minhash_read_whole_texts(spark, sf):
     assert len(set(values(spark, d, "str_minhash").values())) == 4
 
 
-@pytest.mark.parametrize("name", ["seq_kmers_whole", "seq_transcribe_whole", "seq_reverse_complement_whole", "verb_explode_whole"])
+@pytest.mark.parametrize("name", ["seq_kmers", "seq_transcribe", "seq_reverse_complement", "verb_explode"])
 def test_whole_forms(spark, sf, name):
-    if name == "verb_explode_whole":
+    if name == "verb_explode":
         got = catalogue.queries()[name](spark, sf).collect()
         assert sorted((r.doc_id, r.w) for r in got) == sorted((k, w) for k, t in TEXTS.items() if t is not None for w in t.split(" "))
         return
-    f = {"seq_kmers_whole": lambda s: ",".join(s[i : i + 4] for i in range(len(s) - 3)), "seq_transcribe_whole": lambda s: s.replace("T", "U"), "seq_reverse_complement_whole": lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))}[name]
+    f = {"seq_kmers": lambda s: ",".join(s[i : i + 4] for i in range(len(s) - 3)), "seq_transcribe": lambda s: s.replace("T", "U"), "seq_reverse_complement": lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))}[name]
     assert values(spark, sf, name) == {k: t if t is None else f(bases(t)) for k, t in TEXTS.items()}
 
 
@@ -66,7 +66,7 @@ def test_pagerank_uses_every_lineitem_edge(spark, tmp_path):
     assert got == pytest.approx(rank)
 
 
-@pytest.mark.parametrize("name,least", [("metric_roc_auc_whole", 1), ("join_full_whole", 150), ("graph_triangles_whole", 3), ("graph_bfs_whole", 100)])
+@pytest.mark.parametrize("name,least", [("metric_roc_auc", 1), ("join_full", 150), ("graph_triangles", 3), ("graph_bfs", 100)])
 def test_whole_tables(spark, name, least):
     """On sf0.01, where ids go past the parts that the other SQL reads, so more than one path and triangle counts."""
     sf = "/root/testdata/sf0.01"

@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load_all() -> None:
-    from . import extra, more, relational, scalar, tpch  # noqa: F401
+    from . import extra, learn, more, relational, scalar, tpch  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

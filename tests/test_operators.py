@@ -64,3 +64,17 @@ def test_split_shares(spark):
 def test_row_index(spark):
     df = relational.with_row_index(spark.range(100).repartition(5), order_by="id", offset=3)
     assert all(r["index"] == r.id + 3 for r in df.collect())
+
+
+def test_full_join_deals_out_a_large_key(spark):
+    """Pairs of one key go to several tasks, each once; nulls match nothing."""
+    left = spark.range(3000).select(F.lit(1).alias("k"), "id").union(spark.createDataFrame([(None, -1), (2, -2), (3, -3)], "k int, id long"))
+    right = spark.range(400).select(F.lit(1).alias("k"), "id").union(spark.createDataFrame([(None, -4), (4, -5), (3, -6), (3, -7)], "k int, id long"))
+    got = relational.join(left, right, "k", "full")
+    assert got.columns == ["k", "id", "id_right"]
+    pairs = got.where("k = 1").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("id") * 400 + F.col("id_right")).alias("s"), F.countDistinct("id", "id_right").alias("d")).collect()
+    total = 3000 * 400
+    assert sum(r.n for r in pairs) == sum(r.d for r in pairs) == total and sum(r.s for r in pairs) == total * (total - 1) // 2
+    assert max(r.n for r in pairs) < 0.8 * total
+    rest = sorted(((r.k, r.id, r.id_right) for r in got.where("k is null or k > 1").collect()), key=repr)
+    assert rest == sorted([(None, -1, None), (None, None, -4), (2, -2, None), (3, -3, -6), (3, -3, -7), (4, None, -5)], key=repr)

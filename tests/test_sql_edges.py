@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from millrace.functions import numeric
+from millrace.functions import geo, numeric
 from millrace.plans import catalogue
 from tests.oracle import connect, difference
 from tests.test_operators import F, one
@@ -19,3 +19,13 @@ def test_format_bytes_beyond_a_gib(spark, tmp_path):
     keys = [None, 0, 1, 2, 1048, 1049, 1_073_741, 1_073_742, 1_199_999, 5_000_000_000_000]
     assert differs(spark, tmp_path, "expr_format_bytes", "lineitem", {"l_orderkey": pa.array(range(len(keys)), pa.int64()), "l_linenumber": pa.array([1] * len(keys), pa.int32()), "l_partkey": pa.array(keys, pa.int64())}) is None
     assert one(spark, numeric.format_bytes(F.lit(1_199_999_000))) == "1.1 GiB"
+
+
+def test_contains_of_boundaries_and_nulls(spark, tmp_path):
+    """A box is open, and what a null leaves open is null."""
+    xs = [None, float("nan"), float("-inf"), float("inf"), -1.0, 0.49, 0.5, 0.51, 5000.49, 5000.5, 5000.51]
+    rows = [(x, k) for x in xs for k in (None, -3, 2, 3, 9, 10)]
+    assert differs(spark, tmp_path, "geo_contains", "customer", {"c_custkey": pa.array(range(len(rows)), pa.int64()), "c_acctbal": pa.array([x for x, _ in rows], pa.float64()), "c_nationkey": pa.array([k for _, k in rows], pa.int32())}) is None
+    ring = F.array(*(geo.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (4, 0), (0, 4), (0, 0))))
+    inside = lambda x, y: one(spark, geo.contains(ring, geo.point(F.lit(x), F.lit(y))))
+    assert [inside(*q) for q in ((1, 1), (2, 2), (0, 1), (1, 0), (0, 0), (3, 3), (None, 1), (None, 5))] == [True, False, False, False, False, False, None, False]

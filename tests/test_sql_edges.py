@@ -29,3 +29,10 @@ def test_contains_of_boundaries_and_nulls(spark, tmp_path):
     ring = F.array(*(geo.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (4, 0), (0, 4), (0, 0))))
     inside = lambda x, y: one(spark, geo.contains(ring, geo.point(F.lit(x), F.lit(y))))
     assert [inside(*q) for q in ((1, 1), (2, 2), (0, 1), (1, 0), (0, 0), (3, 3), (None, 1), (None, 5))] == [True, False, False, False, False, False, None, False]
+
+
+def test_truediv_by_zero(spark, tmp_path):
+    """The SQL gives an infinity without a sign for all but 0 / 0, for a null too."""
+    values = [None, float("nan"), float("-inf"), float("inf"), -1.5, -0.0, 0.0, 5e-324, 0.05, 1e308]
+    pairs = [(a, b) for a in values for b in values]
+    assert differs(spark, tmp_path, "expr_truediv", "lineitem", {"l_orderkey": pa.array(range(len(pairs)), pa.int64()), "l_linenumber": pa.array([1] * len(pairs), pa.int32()), "l_tax": pa.array([a for a, _ in pairs], pa.float64()), "l_discount": pa.array([b for _, b in pairs], pa.float64())}) is None

@@ -36,3 +36,11 @@ def test_truediv_by_zero(spark, tmp_path):
     values = [None, float("nan"), float("-inf"), float("inf"), -1.5, -0.0, 0.0, 5e-324, 0.05, 1e308]
     pairs = [(a, b) for a in values for b in values]
     assert differs(spark, tmp_path, "expr_truediv", "lineitem", {"l_orderkey": pa.array(range(len(pairs)), pa.int64()), "l_linenumber": pa.array([1] * len(pairs), pa.int32()), "l_tax": pa.array([a for a, _ in pairs], pa.float64()), "l_discount": pa.array([b for _, b in pairs], pa.float64())}) is None
+
+
+def test_capitalize_letter_by_letter(spark, tmp_path):
+    """Every letter with a case, first and inside; those of Unicode 16 have one in Spark only."""
+    letters = [x for x in map(chr, range(1, 0x1E944)) if (x.upper() != x or x.lower() != x) and not ("\U00010d50" <= x <= "\U00010d85" or x in "\u019b\u0264\u1c89\u1c8a\ua7cb\ua7cc\ua7cd\ua7da\ua7db\ua7dc")]
+    texts = [None, "", "ß", "straße", "ßa", "ΑΣ ΑΣΑ", "İI", *(f"{x}a{x} A{x}" for x in letters)]
+    assert len(letters) > 2500
+    assert differs(spark, tmp_path, "str_capitalize", "documents", {"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}) is None

@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from millrace.functions import geo, numeric
+from millrace.functions import geo, numeric, text
 from millrace.plans import catalogue
 from tests.oracle import connect, difference
 from tests.test_operators import F, one
@@ -44,3 +44,10 @@ def test_capitalize_letter_by_letter(spark, tmp_path):
     texts = [None, "", "ß", "straße", "ßa", "ΑΣ ΑΣΑ", "İI", *(f"{x}a{x} A{x}" for x in letters)]
     assert len(letters) > 2500
     assert differs(spark, tmp_path, "str_capitalize", "documents", {"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}) is None
+
+
+def test_pad_start_keeps_the_text_at_the_end(spark, tmp_path):
+    """The query's SQL is the text itself, which padding leaves at the end; the function does pad."""
+    texts = [None, "", "a", "A.", "  ", "é", "abc", "abcdefg"]
+    assert differs(spark, tmp_path, "str_pad_start", "documents", {"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}) is None
+    assert [one(spark, text.pad_start(F.lit(x), 3)) for x in texts] == [None, "   ", "  a", " A.", "   ", "  é", "abc", "abcdefg"]

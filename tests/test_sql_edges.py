@@ -51,3 +51,10 @@ def test_pad_start_keeps_the_text_at_the_end(spark, tmp_path):
     texts = [None, "", "a", "A.", "  ", "é", "abc", "abcdefg"]
     assert differs(spark, tmp_path, "str_pad_start", "documents", {"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}) is None
     assert [one(spark, text.pad_start(F.lit(x), 3)) for x in texts] == [None, "   ", "  a", " A.", "   ", "  é", "abc", "abcdefg"]
+
+
+def test_pad_start_shows_its_padding(spark, tmp_path):
+    """Short texts come out padded, from the query and from its SQL; longer ones aren't cut to the width."""
+    texts = {None: None, "": "   ", "a": "  a", " b": "  b", "é.": " é.", "\U0001f600": "  \U0001f600", "e\u0301": " e\u0301", "\n": "  \n", "abc": "abc", "abcd": "abcd", "abcdefg": "abcde"}
+    assert differs(spark, tmp_path, "str_pad_start", "documents", {"doc_id": pa.array(range(len(texts)), pa.int64()), "text": list(texts)}) is None
+    assert [r.value for r in catalogue.queries()["str_pad_start"](spark, str(tmp_path)).orderBy("doc_id").collect()] == list(texts.values())
